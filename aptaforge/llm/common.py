@@ -45,6 +45,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send Python workers at most ``rows`` texts at once: they may be long, and a batch is held several times over."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def worker_cache() -> dict:
     """What a Python worker keeps from task to task, such as compiled tokenizers."""
     return vars(sys).setdefault("_aptaforge_worker_cache", {})

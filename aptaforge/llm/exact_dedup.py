@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aptaforge.llm.common import SPACE, drop_ids, join_on, materialize, spread
+from aptaforge.llm.common import SPACE, drop_ids, join_on, materialize, spread, text_batches
 
 #: One random 32-bit number for each byte value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 77) for b in range(256)], dtype=np.uint32)
@@ -71,6 +71,7 @@ def recipes(docs: DataFrame, bits: int = 11, id_bytes: int = 16) -> DataFrame:
     each distinct chunk moves once from a task. An identifier that stands for more than one
     content is told apart by the content's rank; the recipe then names that too.
     """
+    text_batches(docs.sparkSession)
     body = normalised()
     cut = docs.select("doc_id", body.alias("_body")).select(
         "doc_id", F.sha2("_body", 256).alias("text_sha256"), chunker(bits, id_bytes)("_body").alias("c")

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aptaforge.llm.common import worker_cache
+from aptaforge.llm.common import text_batches, worker_cache
 
 #: Pieces that a task packs together; what a task holds of them is four numbers each.
 BATCH = 400_000
@@ -95,7 +95,7 @@ class WordTokenizer:
     pass through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -203,4 +203,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2) ->
     a power of two. Null text is empty and has the end id alone; repeated rows are packed each;
     extra columns are ignored.
     """
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packer(tokenizer, capacity, end), PIECE)

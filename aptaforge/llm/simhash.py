@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aptaforge.llm.common import WORD, drop_ids, join_on, materialize, shuffle_partitions, spread
+from aptaforge.llm.common import WORD, drop_ids, join_on, materialize, shuffle_partitions, spread, text_batches
 
 BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -336,6 +336,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, fill: int =
     zero and link like any other. A null doc_id never names a component unless all its
     members are null. Repeated rows share a component. An empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     prints = materialize(docs.select("doc_id", fingerprint_udf(shingle)("text").alias("fp")), "simhash-prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(near_links(nodes.select("fp"), radius, fill, block), "simhash-links")
@@ -355,6 +356,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
     link if the sketches of 128 minima put their similarity at ``similarity`` or above. Equal sketches are one
     node; texts without words never link. Ids must be unique. Null ids keep to themselves.
     """
+    text_batches(docs.sparkSession)
     sketched = docs.select("doc_id", sketch_udf(shingle)("text").alias("s"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("w"))
     rows = materialize(sketched.filter("w and doc_id is not null").select("doc_id", "s.fp", "s.bands", "s.sketch"), "near-sketches")
     nodes = rows.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node"), F.first("bands").alias("buckets"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aptaforge.llm.common import worker_cache
+from aptaforge.llm.common import text_batches, worker_cache
 
 SPACE_MARK = "▁"
 
@@ -36,7 +36,7 @@ class CountingTransducer:
 
     START, BYTES = "", "\0"
 
-    def __init__(self, pieces: dict[str, float], dummy_prefix: bool = True, most: int = 400_000):
+    def __init__(self, pieces: dict[str, float], dummy_prefix: bool = True, most: int = 150_000):
         self.pieces, self.dummy_prefix, self.most = pieces, dummy_prefix, most
         self.begins = {p[:k] for p in pieces for k in range(1, len(p))}
         self.apart: dict[tuple[str, str], bool] = {}
@@ -50,7 +50,7 @@ class CountingTransducer:
         self.number = {self.states[0]: 0}
 
     @classmethod
-    def from_model(cls, path: str, most: int = 400_000) -> CountingTransducer:
+    def from_model(cls, path: str, most: int = 150_000) -> CountingTransducer:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -120,6 +120,8 @@ class CountingTransducer:
             if count is None:
                 if len(self.delta) > 2 * self.most:
                     self.reset()
+                if len(self.apart) > 2 * self.most:
+                    self.apart.clear()
                 state, count, delta = 0, 0, self.delta
                 for char in segment:
                     found = delta.get(state << 21 | ord(char)) or self.step(state, char)
@@ -203,6 +205,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
         for batch in texts:
             yield pd.Series(machine.counts(batch), dtype="int64")
 
+    text_batches(docs.sparkSession)
     body = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), tokens("text").alias("n_tokens"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
