@@ -26,7 +26,7 @@ class CountingTransducer:
     token and the count of tokens at its start (relative to now). A transition by a character
     emits by how much the count changes; the emitted counts of a path add up to the tokens of what was
     read. States and transitions are compiled when first met, their number depends on the
-    vocabulary and not on the texts, and ``most`` bounds what is kept.
+    vocabulary and not on the texts; words kept are bounded by twice ``most``, transitions by four times.
 
     A chunk's state map is (head, count, tail): from any state, it ends that state's segment with
     ``head``, emits ``count`` for whole segments, and leaves the state that ``tail`` leads to (None: there
@@ -36,7 +36,7 @@ class CountingTransducer:
 
     START, BYTES = "", "\0"
 
-    def __init__(self, pieces: dict[str, float], dummy_prefix: bool = True, most: int = 150_000):
+    def __init__(self, pieces: dict[str, float], dummy_prefix: bool = True, most: int = 200_000):
         self.pieces, self.dummy_prefix, self.most = pieces, dummy_prefix, most
         self.begins = {p[:k] for p in pieces for k in range(1, len(p))}
         self.apart: dict[tuple[str, str], bool] = {}
@@ -50,7 +50,7 @@ class CountingTransducer:
         self.number = {self.states[0]: 0}
 
     @classmethod
-    def from_model(cls, path: str, most: int = 150_000) -> CountingTransducer:
+    def from_model(cls, path: str, most: int = 200_000) -> CountingTransducer:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -94,18 +94,19 @@ class CountingTransducer:
         """Compile the transition from ``state`` by ``char``."""
         suffix, points = self.states[state]
         suffix += char
-        if char not in self.pieces and char not in self.begins:
+        end, pieces, begins = len(suffix), self.pieces, self.begins
+        if char not in pieces and char not in begins:
             emitted, token, points = len(char.encode("utf-8", "surrogatepass")), self.BYTES, ()
         else:
             for back, last, count in reversed(points):
-                token = suffix[len(suffix) - back - 1 :]
-                if token in self.pieces and self.follows(last, token):
+                token = suffix[end - back - 1 :]
+                if token in pieces and self.follows(last, token):
                     emitted = 1 - count
                     break
             else:  # a character that only begins pieces
                 emitted, token = len(char.encode("utf-8", "surrogatepass")), self.BYTES
-        kept = [(back + 1, last, count + emitted) for back, last, count in points if suffix[len(suffix) - back - 1 :] in self.begins]
-        key = (suffix[len(suffix) - kept[-1][0] :] if kept else "", ((0, token, 0), *kept))
+        kept = [(back + 1, last, count + emitted) for back, last, count in points if suffix[end - back - 1 :] in begins]
+        key = (suffix[end - kept[-1][0] :] if kept else "", ((0, token, 0), *kept))
         to = self.number.setdefault(key, len(self.states))
         if to == len(self.states):
             self.states.append(key)
@@ -118,7 +119,7 @@ class CountingTransducer:
         if count is None:
             count = self.old.get(segment)
             if count is None:
-                if len(self.delta) > 2 * self.most:
+                if len(self.delta) > 4 * self.most:
                     self.reset()
                 if len(self.apart) > 2 * self.most:
                     self.apart.clear()
