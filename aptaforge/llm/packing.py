@@ -95,7 +95,7 @@ class WordTokenizer:
     pass through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
