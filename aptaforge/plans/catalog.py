@@ -15,7 +15,9 @@ from pyspark.sql.window import Window
 
 from aptaforge.functions import g4
 from aptaforge.functions import sequences as sq
-from aptaforge.operators import clustering, motifs, rounds, structure, vectors
+from aptaforge.operators import charts, clustering, features, motifs, rounds, structure, vectors
+from aptaforge.operators import analyses as whole
+from aptaforge.operators.screen import screen
 from aptaforge.sources import sinks
 from aptaforge.sources.reads import percent_top
 
@@ -329,11 +331,9 @@ _EDIT = "CASE WHEN abs(length({a}) - length({b})) / greatest(length({a}), length
 _SET = "list_distinct(list_transform(range(1, length({s}) - 1), lambda i: substr({s}, i, 3)))"
 
 
-@query(f"WITH {NAMES} SELECT x.s AS a, y.s AS b, round({_EDIT.format(a='x.s', b='y.s')}, 6) AS similarity FROM names x JOIN names y ON x.s < y.s")
+@query(f"SELECT p_partkey, round({_EDIT.format(a='p_name', b='p_type')}, 6) AS similarity FROM part")
 def edit_pairs(spark, sf):
-    n = names(spark, sf).select("s")
-    both = n.select(F.col("s").alias("a")).join(n.select(F.col("s").alias("b")), F.col("a") < F.col("b"))
-    return both.withColumn("similarity", F.round(sq.edit_similarity(F.col("a"), F.col("b")), 6))
+    return table(spark, sf, "part").select("p_partkey", F.round(sq.edit_similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
 
 
 @query(f"WITH {NAMES}, g AS (SELECT s, {_SET.format(s='s')} AS g FROM names) SELECT x.s AS a, y.s AS b, round(len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))), 6) AS jaccard FROM g x JOIN g y ON x.s < y.s WHERE len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) >= 0.2")
@@ -552,3 +552,136 @@ def force_layout(spark, sf):
 def cluster_hulls(spark, sf):
     xy = pca2d(spark, sf).join(vecs(spark, sf).select("id", "cluster"), "id")
     return clustering.hulls(xy)
+
+
+@query(f"""WITH {_UNIT}, p AS (SELECT a.id, a.cluster, b.cluster AS other, sum(1 - list_dot_product(a.u, b.u)) FILTER (a.id <> b.id) AS t, count(*) AS n FROM u a, u b GROUP BY 1, 2, 3),
+ab AS (SELECT id, cluster, max(t / (n - 1)) FILTER (other = cluster) AS a, min(t / n) FILTER (other <> cluster) AS b FROM p GROUP BY 1, 2), s AS (SELECT id, cluster, round((b - a) / greatest(a, b), 6) AS silhouette FROM ab)
+SELECT id, cluster, silhouette, row_number() OVER (PARTITION BY cluster ORDER BY silhouette DESC, id) AS bar, CASE WHEN silhouette >= 0.5 THEN 'strong' WHEN silhouette >= 0.25 THEN 'moderate' ELSE 'weak' END AS quality FROM s""")
+def silhouette_bars(spark, sf):
+    bars = charts.silhouette_bars(vectors.cosine_silhouette(vecs(spark, sf)).withColumn("silhouette", F.round("silhouette", 6)))
+    return bars.withColumn("bar", F.col("bar").cast("long")).withColumn("quality", charts.quality_label(F.col("silhouette")))
+
+
+_BRANDS = "b AS (SELECT p_brand AS cluster_id, count(*) AS size, max(p_size) % 4 AS passes, -min(p_size) / 2.0::DOUBLE AS mfe, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE sum(p_size) END AS z FROM part GROUP BY 1)"
+
+
+def brands(spark, sf):
+    out = table(spark, sf, "part").groupBy(F.col("p_brand").alias("cluster_id")).agg(F.count("*").alias("size"), (F.max("p_size") % 4).alias("passes"), (-F.min("p_size") / 2.0).alias("mfe"), F.sum("p_size").alias("_z"))
+    return out.withColumn("z", F.when(F.col("size") % 3 != 0, F.col("_z"))).drop("_z")
+
+
+@query(f"WITH {_BRANDS} SELECT cluster_id, row_number() OVER (ORDER BY z DESC NULLS LAST, cluster_id) AS z_rank, size > 1 AS multi, passes >= 2 AS g4pos FROM b WHERE mfe <= -5 OR passes >= 2 OR size > 1")
+def cluster_ranks(spark, sf):
+    b = charts.z_ranked(brands(spark, sf))
+    kept = charts.cluster_filter(b, "multi").unionByName(charts.cluster_filter(b, "g4pos")).unionByName(charts.cluster_filter(b, "stable")).distinct()
+    return kept.select("cluster_id", F.col("z_rank").cast("long").alias("z_rank"), (F.col("size") > 1).alias("multi"), (F.col("passes") >= 2).alias("g4pos"))
+
+
+@query(f"WITH {_BRANDS} SELECT cluster_id, z_rank FROM (SELECT cluster_id, row_number() OVER (ORDER BY z DESC NULLS LAST, cluster_id) AS z_rank FROM b) WHERE z_rank <= 10")
+def visible_clusters(spark, sf):
+    return charts.visible(charts.z_ranked(brands(spark, sf)), 10).select("cluster_id", F.col("z_rank").cast("long").alias("z_rank"))
+
+
+@query(f"WITH {_BRANDS} SELECT size, CASE WHEN passes >= 2 THEN 'High' WHEN passes = 1 THEN 'Medium' ELSE 'Low' END AS risk, count(*) AS n FROM b GROUP BY 1, 2")
+def size_distribution(spark, sf):
+    return charts.size_distribution(brands(spark, sf))
+
+
+@query(f"WITH {_BRANDS} SELECT 'Cluster ' || cluster_id || ' (' || size || ' members, ' || CASE WHEN passes >= 2 THEN 'High' WHEN passes = 1 THEN 'Medium' ELSE 'Low' END || ' G4' || CASE WHEN passes > 0 THEN ', GG' || passes || ' motif' ELSE '' END || ')' AS label FROM b")
+def bubble_labels(spark, sf):
+    motif = F.when(F.col("passes") > 0, F.concat(F.lit("GG"), F.col("passes").cast("string")))
+    return brands(spark, sf).select(charts.bubble_label(F.col("cluster_id"), F.col("size"), g4.risk_by_passes(F.col("passes")), motif).alias("label"))
+
+
+@query("SELECT p_partkey, CAST(floor(p_partkey / 5) % 5 AS INT) AS shape, CAST(p_partkey % 12 AS INT) AS colour, round((p_partkey * 137.508::DOUBLE) % 360, 1) AS hue, CASE WHEN p_retailprice / 2000 >= 0.7 THEN round(0.8 + least((p_retailprice / 2000 - 0.7) / 0.3, 1) * 1.5, 6) END AS width FROM part")
+def chart_scales(spark, sf):
+    """Part keys count from 0, cluster ids from 1."""
+    k = F.col("p_partkey") + 1
+    width = charts.edge_width(F.col("p_retailprice") / 2000)
+    return table(spark, sf, "part").select("p_partkey", charts.shape_index(k).alias("shape"), charts.palette_index(k, 12).alias("colour"), charts.cluster_hue(F.col("p_partkey"))["hue"].alias("hue"), F.round(width, 6).alias("width"))
+
+
+@query("WITH a AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT id, len(list_filter(range(1, len(v) + 1), lambda i: (i - 1) % greatest(1, len(v) // 20) = 0)) AS n, round(list_sum([v[i] for i in range(1, len(v) + 1) if (i - 1) % greatest(1, len(v) // 20) = 0]), 6) AS total FROM a")
+def null_thinning(spark, sf):
+    t = vecs(spark, sf).select("id", charts.thinned(F.col("v"), 20).alias("t"))
+    return t.select("id", F.size("t").cast("long").alias("n"), F.round(F.aggregate("t", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(f"""WITH {VEC}, r AS (SELECT id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY cluster) AS n FROM vec),
+k AS (SELECT id, cluster FROM r WHERE i % CASE WHEN n > 20 THEN n // 20 ELSE 1 END = 0 AND i < 20 * CASE WHEN n > 20 THEN n // 20 ELSE 1 END),
+p AS (SELECT *, row_number() OVER (ORDER BY cluster, id) - 1 AS j, greatest(1, count(*) OVER () // 150) AS s, count(*) OVER () AS c FROM k) SELECT id, cluster FROM p WHERE c <= 150 OR (j % s = 0 AND j < 150 * s)""")
+def strided_sample(spark, sf):
+    return charts.strided_sample(vecs(spark, sf).select("id", "cluster"), 20, 150)
+
+
+@query(f"""WITH {VEC}, r AS (SELECT id, cluster, row_number() OVER (PARTITION BY cluster ORDER BY id DESC) AS k FROM vec) SELECT id, cluster FROM r WHERE k <= 20 ORDER BY id DESC LIMIT 150""")
+def balanced_sample(spark, sf):
+    return vectors.balanced_sample(vecs(spark, sf).withColumn("reads", F.col("id")), 20, 150).select("id", "cluster")
+
+
+@query(f"""WITH {SEQ}, r AS (SELECT doc_id, translate(s, 'T', 'U') AS s FROM seq), dims AS (SELECT a || b AS kmer FROM unnest(['A', 'C', 'G', 'U']) AS x(a), unnest(['A', 'C', 'G', 'U']) AS y(b)),
+g AS (SELECT doc_id, kmer, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS kmer FROM r WHERE length(s) >= 2) GROUP BY ALL),
+f AS (SELECT r.doc_id, dims.kmer, CASE WHEN length(s) >= 2 THEN coalesce(n, 0) / (length(s) - 1) ELSE 0 END AS f FROM r CROSS JOIN dims LEFT JOIN g ON g.doc_id = r.doc_id AND g.kmer = dims.kmer),
+st AS (SELECT kmer, avg(f) AS m, stddev_pop(f) AS sd FROM f GROUP BY 1) SELECT doc_id, kmer, round((f - m) / sd, 5) + 0.0 AS z FROM f JOIN st USING (kmer) WHERE sd * sd > 1e-10""")
+def dense_features(spark, sf):
+    """The standardised matrix of 2-mers, zeros included, in long form (all 16 occur in any such table)."""
+    rows = features.scaled(features.dense(seqs(spark, sf), "doc_id", "s", 2), "doc_id")
+    names = F.array(*[F.lit(a + b) for a in "ACGU" for b in "ACGU"])
+    return rows.select("doc_id", F.explode(F.arrays_zip(names.alias("kmer"), F.col("v").alias("z"))).alias("c")).select("doc_id", "c.kmer", (F.round("c.z", 5) + 0.0).alias("z"))
+
+
+@query(f"WITH {SEQ}, x AS (SELECT doc_id, s, CASE WHEN length(s) >= 3 THEN round({_CGCC}, 4) ELSE 0 END AS cgcc, CASE WHEN length(s) >= 3 THEN round({_HUNT}, 4) ELSE 0 END AS g4hunter FROM seq) SELECT doc_id, cgcc, g4hunter, CAST({_HITS} AS BIGINT) AS n_motifs, len(regexp_extract_all(s, 'G{{2,}}')) AS n_regions FROM x")
+def g4_screen(spark, sf):
+    out = screen(seqs(spark, sf), "s")
+    return out.select("doc_id", "cgcc", "g4hunter", F.col("num_g4_motifs").cast("long").alias("n_motifs"), F.size("g_rich_regions").cast("long").alias("n_regions"))
+
+
+@query("WITH p AS (SELECT p_partkey, ['', p_brand] AS v, p_name AS s FROM part) SELECT p_partkey, substr(s, 4, greatest(length(s) - 5, 0)) AS trimmed, CASE WHEN length(s) > 10 THEN substr(s, 1, 10) || '...' ELSE s END AS shown FROM p")
+def trim_and_shorten(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", sq.trim(F.col("p_name"), F.lit(3), F.lit(2)).alias("trimmed"), sq.shorten(F.col("p_name"), 10).alias("shown"))
+
+
+@query()
+def hybrid_features(spark, sf):
+    s = long_seqs(spark, sf).withColumn("score", g4.hunter(F.col("s")))
+    return features.prepare(s, "doc_id", "s", mode="hybrid", scores=["score"])
+
+
+@query()
+def structure_clusters(spark, sf):
+    return clustering.structure_clusters(fold_mfe(spark, sf).select("sequence", F.length("sequence").alias("total_reads"), F.col("dot_bracket").alias("bracket")))
+
+
+def library(spark, sf):
+    """A small library of equal design: the folded view's sequences with their number as reads."""
+    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("w"))
+    return words.groupBy(F.concat(F.lit("GGGCACGU"), sq.rna(F.col("w")), F.lit("ACGUGCCC")).alias("sequence")).agg(F.count("*").alias("total_reads"))
+
+
+@query()
+def sequence_clusters(spark, sf):
+    return whole.sequence_clusters(library(spark, sf))
+
+
+@query()
+def optimal_clusters(spark, sf):
+    return whole.optimal_clusters(library(spark, sf), threshold=0.8, methods=("kmeans", "hierarchical"), most=8)
+
+
+@query()
+def cluster_annotation(spark, sf):
+    return whole.annotate(optimal_clusters(spark, sf)).select("cluster_id", "size", "reads", "sequence", "g4_score", "risk", "passes", "dot_bracket", "mfe", "delta_mfe", "better")
+
+
+@query()
+def cross_round_analysis(spark, sf):
+    words = table(spark, sf, "part").select(F.col("p_partkey"), F.explode(F.split("p_name", " ")).alias("w"))
+    named = rounds_view(spark, sf).join(words, F.col("sequence") == F.col("p_partkey").cast("string"))
+    rows = named.groupBy("round_number", F.concat(F.lit("ACGU"), sq.rna(F.col("w"))).alias("sequence")).agg(F.sum("read_count").alias("read_count"))
+    return whole.enrich_analyse(rows, methods=("kmeans",), most=6)[1]
+
+
+@query()
+def profile_clusters(spark, sf):
+    folded = fold_mfe(spark, sf).withColumn("id", F.row_number().over(Window.orderBy("sequence")).cast("long")).withColumn("read_count", F.length("sequence"))
+    return whole.profile_clusters(folded, permutations=100, methods=("kmeans",), most=6)[0]

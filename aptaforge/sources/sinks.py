@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+import zipfile
+from typing import BinaryIO
+from xml.sax.saxutils import escape
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from aptaforge.functions.sequences import reverse_complement
+
 
 def member_zscores(members: DataFrame, cluster: str = "cluster_id", reads: str = "total_reads") -> DataFrame:
     """``members`` plus z_score of reads within the cluster (population deviation; 1 where it is 0) and significant (|z| >= 2)."""
@@ -28,8 +36,9 @@ def cluster_json(clusters: DataFrame, members: DataFrame) -> DataFrame:
     return joined.select(F.to_json(F.struct(*joined.columns)).alias("value"))
 
 
-def sheets(rounds: DataFrame, enrichment: DataFrame) -> dict[str, DataFrame]:
-    """Report sheets: a summary, each round ranked, and enrichment with a column pair for each round.
+def sheets(rounds: DataFrame, enrichment: DataFrame, screened: DataFrame | None = None, folded: DataFrame | None = None, kmers: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Report sheets: a summary, each round ranked, enrichment with a column pair for each round, and, where given,
+    quadruplex scores, structures and k-mers.
 
     ``rounds``: round_number, sequence, read_count, percent_read. One sheet per round, so the round numbers reach the driver.
     """
@@ -38,12 +47,70 @@ def sheets(rounds: DataFrame, enrichment: DataFrame) -> dict[str, DataFrame]:
     for n in numbers:
         by = Window.orderBy(F.col("read_count").desc(), "sequence")
         out[f"Round {n}"] = rounds.filter(F.col("round_number") == n).select(F.row_number().over(by).alias("rank"), "sequence", "read_count", F.round("percent_read", 4).alias("percent"))
-    wide = rounds.groupBy("sequence").pivot("round_number", numbers).agg(F.first("read_count").alias("Count"), F.round(F.first("percent_read"), 4).alias("%"))
-    fold = F.when(F.col("is_new"), "New").when(F.col("fold").isNull(), "N/A").otherwise(F.format_string("%.2f", F.col("fold")))
-    out["Enrichment"] = enrichment.select("sequence", fold.alias("fold"), "total_reads").join(wide, "sequence", "left")
+    wide = rounds.groupBy("sequence").agg(*[
+        c for n in numbers for c in (
+            F.sum(F.when(F.col("round_number") == n, F.col("read_count"))).alias(f"R{n} Count"),
+            F.round(F.max(F.when(F.col("round_number") == n, F.col("percent_read"))), 4).alias(f"R{n} %"),
+        )
+    ])
+    fold = F.when(F.col("is_new"), "New").when(F.col("fold").isNull(), "N/A").otherwise(F.col("fold").cast("string"))
+    key = F.when(F.col("is_new"), 1e15).otherwise(F.coalesce("fold", F.lit(0.0)))
+    rank = F.row_number().over(Window.orderBy(key.desc(), F.col("max_percent_read").desc(), "sequence")).alias("rank")
+    ranked = enrichment.select(rank, "sequence", fold.alias("fold"), F.round("max_percent_read", 4).alias("max_percent_read"), "present_in_rounds")
+    columns = [F.col(f"`R{n} {c}`") for n in numbers for c in ("Count", "%")]
+    out["Enrichment"] = ranked.join(wide, "sequence", "left").select("rank", "sequence", *columns, "fold", "max_percent_read", "present_in_rounds").orderBy("rank")
+    if screened is not None:
+        top = F.coalesce(F.get("g4_motifs", F.lit(0))["motif"], F.lit("None"))
+        out["G4 Screening"] = screened.select("sequence", "g4_score", "cgcc", "num_g4_motifs", top.alias("top_motif"))
+    if folded is not None:
+        out["RNA Structure"] = folded.select("sequence", "dot_bracket", "mfe", "num_base_pairs")
+    if kmers is not None:
+        out["Motifs"] = kmers.select("kmer", F.col("n").alias("count"), F.round("frequency", 5).alias("frequency"), reverse_complement(F.col("kmer")).alias("reverse_complement"))
     return out
 
 
+#: Rows that a sheet of a workbook can hold.
+SHEET_ROWS = 1_048_576
+
+
+def _cell(value) -> str:
+    if value is None:
+        return "<c/>"
+    if isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value):
+        return f"<c><v>{value}</v></c>"
+    text = re.sub("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "", str(value))
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
+
+
+def workbook(tables: dict[str, DataFrame], file: BinaryIO) -> None:
+    """One workbook with a sheet for each table, its column names in the first row. Rows pass through the driver one
+    partition at a time; raises ValueError for more rows than a sheet can hold."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    names = [re.sub(r"[\[\]:*?/\\\\]", " ", n)[:31] for n in tables]
+    numbered = list(enumerate(names, 1))
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+        types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i, _ in numbered)
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{types}</Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        listed = "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="r{i}"/>' for i, n in numbered)
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
+        links = "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in numbered)
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}</Relationships>')
+        for i, df in enumerate(tables.values(), 1):
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as sheet:
+                sheet.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
+                sheet.write(f"<row>{''.join(map(_cell, df.columns))}</row>".encode())
+                for n, row in enumerate(df.toLocalIterator(), 2):
+                    if n > SHEET_ROWS:
+                        raise ValueError(f"over {SHEET_ROWS} rows in a sheet; write folders of CSV instead")
+                    sheet.write(f"<row>{''.join(map(_cell, row))}</row>".encode())
+                sheet.write(b"</sheetData></worksheet>")
+
+
 def write_sheets(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
