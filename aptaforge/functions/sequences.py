@@ -43,17 +43,15 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def kmers(seq: Column, k: int, gap: int = 0) -> Column:
-    """Overlapping k-mers; with ``gap`` letters skipped between the letters of each."""
-    span = (k - 1) * (gap + 1) + 1
-
-    def cut(s: Column) -> Column:
-        if gap:
-            at = lambda i: F.concat(*[F.substring(s, i + j * (gap + 1), F.lit(1)) for j in range(k)])
-        else:
-            at = lambda i: F.substring(s, i, F.lit(k))
-        return F.when(F.length(s) >= span, F.transform(F.sequence(F.lit(1), F.length(s) - (span - 1)), at)).otherwise(F.array().cast("array<string>"))
+    """Overlapping k-mers; with ``gap`` letters skipped between the letters of each.
 
-    return let(seq, cut)
+    A lookahead steps through the text once; a substring at each place would count its letters from the start.
+    """
+    span = (k - 1) * (gap + 1) + 1
+    grams = F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{span}}}))"), F.lit(1))
+    if gap:
+        grams = F.transform(grams, lambda g: F.concat(*[F.substring(g, 1 + j * (gap + 1), 1) for j in range(k)]))
+    return grams
 
 
 def jaccard(a: Column, b: Column) -> Column:

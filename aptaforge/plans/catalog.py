@@ -239,11 +239,11 @@ def gapped_kmer_freq(spark, sf):
 
 
 @query(f"""WITH {SEQ}, f AS ({_F3}), n AS (SELECT count(*) AS n FROM seq), st AS (SELECT kmer, sum(f) / any_value(n) AS m, sum(f * f) / any_value(n) AS q FROM f, n GROUP BY 1)
-SELECT doc_id, kmer, round((f - m) / sqrt(q - m * m), 5) AS z FROM f JOIN st USING (kmer) WHERE q - m * m > 1e-10""")
+SELECT doc_id, kmer, round((f - m) / sqrt(q - m * m), 5) + 0.0 AS z FROM f JOIN st USING (kmer) WHERE q - m * m > 1e-10""")
 def feature_zscore(spark, sf):
     s = seqs(spark, sf)
     z = motifs.standardise(motifs.kmer_frequencies(s, "doc_id"), "doc_id", s.count())
-    return z.select("doc_id", "kmer", F.round("z", 5).alias("z"))
+    return z.select("doc_id", "kmer", (F.round("z", 5) + 0.0).alias("z"))  # no negative zeros
 
 
 _RUNS = "list_transform(regexp_extract_all(s, '{}+'), lambda r: length(r))"
