@@ -295,9 +295,9 @@ def g4_window(spark, sf):
     return g4.window_hunter(seqs(spark, sf), "doc_id", "s").withColumn("window_score", F.round("window_score", 6))
 
 
-@query(f"WITH {SEQ} SELECT doc_id, round(CASE WHEN length(s) > 0 THEN (len(regexp_extract_all(s, 'G')) - len(regexp_extract_all(s, 'C'))) * (len(regexp_extract_all(s, 'G')) / length(s)) * (100 / length(s)) ELSE 0 END, 5) AS cgcc FROM seq")
+@query(f"WITH {SEQ} SELECT doc_id, round(CASE WHEN length(s) > 0 THEN (len(regexp_extract_all(s, 'G')) - len(regexp_extract_all(s, 'C'))) * (len(regexp_extract_all(s, 'G')) / length(s)) * (100 / length(s)) ELSE 0 END, 5) + 0.0 AS cgcc FROM seq")
 def g4_simple_cgcc(spark, sf):
-    return seqs(spark, sf).select("doc_id", F.round(g4.simple_cgcc(F.col("s")), 5).alias("cgcc"))
+    return seqs(spark, sf).select("doc_id", (F.round(g4.simple_cgcc(F.col("s")), 5) + 0.0).alias("cgcc"))
 
 
 @query()
