@@ -126,7 +126,18 @@ def prefix_sums(
     return out.drop("_part", *[f"_l_{k}" for k in sums], *[f"_b_{k}" for k in sums])
 
 
-def drop_ids(df: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
-    """Rows of ``df`` whose ``key`` is not in ``ids`` (unique). Broadcast below ``most`` ids, else a sort-merge join."""
-    small = ids.limit(most + 1).count() <= most
-    return df.join(F.broadcast(ids) if small else ids.hint("merge"), key, "left_anti")
+def drop_marked(df: DataFrame, marks: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
+    """``df`` by its ``marks`` (unique on ``keys``, which compare null-safely, and a flag ``_stays``).
+
+    Rows without a mark stay; those whose mark does not stay go; of the rows that share a mark that
+    stays, the smallest does. Marks are broadcast up to ``most``, else joined by sort-merge. Keys with a
+    leading underscore are not in the result.
+    """
+    small = marks.limit(most + 1).count() <= most
+    columns = [c for c in df.columns if not (c in keys and c.startswith("_"))]
+    joined = join_on(df, F.broadcast(marks) if small else marks.hint("merge"), keys, "left")
+    out = joined.filter("_stays is null").select(*columns)
+    if not marks.filter("_stays").limit(1).count():
+        return out
+    once = joined.filter("_stays").groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_row"))
+    return out.unionByName(once.select("_row.*"))

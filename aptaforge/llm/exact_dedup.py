@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aptaforge.llm.common import SPACE, drop_ids, join_on, materialize, spread, text_batches
+from aptaforge.llm.common import SPACE, drop_marked, join_on, materialize, spread, text_batches
 
 #: One random 32-bit number for each byte value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 77) for b in range(256)], dtype=np.uint32)
@@ -115,6 +115,11 @@ def group_copies(docs: DataFrame, bits: int = 11, id_bytes: int = 16) -> DataFra
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the copies. Ids must be unique. Texts move only if over a million documents go."""
-    gone = materialize(group_copies(docs).filter("not kept").select("doc_id"), "dedup-gone")
-    return drop_ids(docs, gone, "doc_id")
+    """``docs`` with the rows that group_copies keeps: one of each group of equal texts.
+
+    A row is told by its doc_id and text together, null-safely, so ids may repeat or be null. Texts
+    move only if over 500,000 pairs of id and text go, and those of rows that repeat such a pair.
+    """
+    pairs = group_copies(docs).groupBy("doc_id", F.unhex("text_sha256").alias("_sha")).agg(F.max("kept").alias("_stays"), F.count("*").alias("n"))
+    marks = materialize(pairs.filter("not _stays or n > 1").drop("n"), "dedup-marks")
+    return drop_marked(docs.withColumn("_sha", F.unhex(F.sha2(normalised(), 256))), marks, ["doc_id", "_sha"])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aptaforge.llm.common import WORD, drop_ids, join_on, materialize, shuffle_partitions, spread, text_batches
+from aptaforge.llm.common import WORD, drop_marked, join_on, materialize, shuffle_partitions, spread, text_batches
 
 BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -348,32 +348,47 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, fill: int =
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) of documents whose sets of ``shingle`` words are alike by ``similarity`` or more.
+    """Documents by groups whose sets of ``shingle`` words are alike by ``similarity`` or more.
+
+    One row per distinct pair of doc_id and text that has words: doc_id, _sha (SHA-256 of the text), n (rows
+    of the pair), component_id (the group's smallest doc_id) and kept, true for one pair of each
+    group: that of the smallest doc_id, and of its texts the smallest by SHA-256. Ids may repeat.
 
     At that similarity fingerprints differ in many of their 64 bits, too many for blocks of equal
     bits. Candidates share one of eight pairs of minima instead (of two texts of similarity 0.8, all but
     3 in 10,000); the bit-sliced comparison abandons those beyond ``radius`` bits, and the rest
     link if the sketches of 128 minima put their similarity at ``similarity`` or above. Equal sketches are one
-    node; texts without words never link. Ids must be unique. Null ids keep to themselves.
+    node, under a key written with it; texts without words never link. Null ids keep to themselves.
     """
     text_batches(docs.sparkSession)
-    sketched = docs.select("doc_id", sketch_udf(shingle)("text").alias("s"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("w"))
-    rows = materialize(sketched.filter("w and doc_id is not null").select("doc_id", "s.fp", "s.bands", "s.sketch"), "near-sketches")
-    nodes = rows.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node"), F.first("bands").alias("buckets"))
-    nodes = materialize(nodes, "near-nodes")
+    sha = F.unhex(F.sha2("text", 256)).alias("_sha")
+    sketched = docs.select("doc_id", sha, sketch_udf(shingle)("text").alias("s"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("w"))
+    rows = materialize(sketched.filter("w and doc_id is not null").select("doc_id", "_sha", "s.fp", "s.bands", "s.sketch"), "near-sketches")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_sha")
+    nodes = rows.groupBy("fp", "sketch").agg(F.min(place).alias("place"), F.first("bands").alias("buckets"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     dealt = join_on(deal(nodes, block), nodes.select("node", "fp", "sketch"), ["node"])
     dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
     links = dealt.select("bucket", "node", "fp", "sketch").mapInArrow(linker(radius, similarity), "u long, v long").distinct()
-    roots = components(links, "near-links")  # nodes are ids, so a root is its component's smallest
-    nodes = join_on(nodes.select("fp", "sketch", "node"), roots, ["node"], "left")
-    nodes = nodes.select("fp", "sketch", F.coalesce("root", "node").alias("component_id"))
-    return spread(rows.select("doc_id", "fp", "sketch"), nodes, ["fp", "sketch"], ["doc_id"]).select("doc_id", "component_id")
+    roots = components(links, "near-links")
+    nodes = join_on(nodes.select("fp", "sketch", "node", "place"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = materialize(nodes, "near-rooted")
+    first = nodes.groupBy("root").agg(F.min("place").alias("first"))
+    named = spread(nodes.drop("place"), first, ["root"], ["node"]).select("fp", "sketch", "first")
+    pairs = rows.groupBy("doc_id", "_sha").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    return spread(pairs, named, ["fp", "sketch"], ["doc_id", "_sha"]).select(
+        "doc_id", "_sha", "n", F.col("first.doc_id").alias("component_id"), place.eqNullSafe(F.col("first")).alias("kept")
+    )
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of near copies. Texts move only if over a million documents go."""
-    gone = near_copies(docs).filter("doc_id != component_id").select("doc_id")
-    return drop_ids(docs, materialize(gone, "near-gone"), "doc_id")
+    """``docs`` with one document of each group of near copies, the one that near_copies keeps.
+
+    A row is told by its doc_id and text together, null-safely, and one of rows that repeat both stays. Texts
+    move only if over 500,000 such pairs go, and those of repeated rows.
+    """
+    marks = materialize(near_copies(docs).filter("not kept or n > 1").select("doc_id", "_sha", F.col("kept").alias("_stays")), "near-marks")
+    return drop_marked(docs.withColumn("_sha", F.unhex(F.sha2("text", 256))), marks, ["doc_id", "_sha"])
 
 
 def hex_print(fp: str = "fp"):
