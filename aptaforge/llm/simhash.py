@@ -85,7 +85,7 @@ def sketch_udf(shingle: int):
         for batch in texts:
             fps, bands, marks = [], [], []
             for t in batch:
-                h = shingle_hashes(t, shingle)
+                h = np.unique(shingle_hashes(t, shingle))  # similarity is of sets, so repeats must not move the fingerprint
                 low = minima(h)
                 fps.append(majority(h))
                 bands.append([xxhash.xxh64_intdigest(low[2 * k : 2 * k + 2].tobytes(), k) - (1 << 63) for k in range(BANDS)])

@@ -33,3 +33,13 @@ def test_null_ids_of_exact_copies(spark):
     rows = [(1, "a text", "x"), (None, "a  text", "x"), (None, "other", "x"), (None, "other", "x"), (None, None, "x"), (5, " ", "x"), (5, "", "x")]
     got = ids_and_texts(exact_dedup.drop_copies(spark.createDataFrame(rows, SCHEMA)))
     assert got == Counter([(1, "a text"), (None, "other"), (5, " "), (5, "")])
+
+
+def test_repeated_words_do_not_part_near_copies(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(10):
+        w = words(rng, 800)
+        rows += [(i, " ".join(w + ["again"] * 5), "x"), (100 + i, " ".join(w + ["again"] * 100), "x")]
+    got = ids_and_texts(simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA)))
+    assert {i for i, _ in got} == set(range(10))
