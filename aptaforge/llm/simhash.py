@@ -63,7 +63,11 @@ def fingerprint_udf(shingle: int):
 
 
 #: Minima of a sketch, and of them the pairs that make up the bands.
-MINIMA, BANDS = 128, 8
+MINIMA, BANDS = 128, 16
+#: Sketches that agree in this share of their values make a candidate; the exact count decides. Of pairs alike by 0.8, 7 in 10**8 are below.
+CANDIDATE = 0.6
+#: Nodes with sets that are compared at once: sets of long documents are large.
+SETS = 256
 
 
 def minima(h: np.ndarray) -> np.ndarray:
@@ -80,21 +84,31 @@ def minima(h: np.ndarray) -> np.ndarray:
 
 
 def sketch_udf(shingle: int):
-    @F.pandas_udf("fp long, bands array<long>, sketch binary")
+    @F.pandas_udf("fp long, bands array<long>, sketch binary, set_id binary")
     def sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            fps, bands, marks = [], [], []
+            fps, bands, marks, sets = [], [], [], []
             for t in batch:
                 h = np.unique(shingle_hashes(t, shingle))  # similarity is of sets, so repeats must not move the fingerprint
                 low = minima(h)
                 fps.append(majority(h))
                 bands.append([xxhash.xxh64_intdigest(low[2 * k : 2 * k + 2].tobytes(), k) - (1 << 63) for k in range(BANDS)])
                 marks.append((low >> np.uint64(3)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"fp": np.array(fps, dtype=np.uint64).view(np.int64), "bands": bands, "sketch": marks})
+                sets.append(xxhash.xxh3_128_digest(h.tobytes()))
+            yield pd.DataFrame({"fp": np.array(fps, dtype=np.uint64).view(np.int64), "bands": bands, "sketch": marks, "set_id": sets})
 
     return sketches
 
 
+def set_udf(shingle: int):
+    @F.pandas_udf("binary")
+    def sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch])
+
+    return sets
+
+
 # --- which fingerprints can be near: blocks of bits that must agree ---
 
 
@@ -251,8 +265,7 @@ def linker(radius: int, similarity: float | None = None):
             alike = None
             if similarity is not None:
                 marks = np.frombuffer(b"".join(t.column(3).to_pylist()), dtype=np.uint8).reshape(-1, MINIMA)
-                # bytes of different minima agree once in 256 times
-                least = MINIMA * (similarity + (1 - similarity) / 256)
+                least = agreeing(similarity)
                 alike = lambda i, j: (marks[i] == marks[j]).sum(axis=1) >= least
             label = compare(f.view(np.uint64), b, radius, alike)
             linked = np.flatnonzero(label != np.arange(len(f)))
@@ -277,6 +290,65 @@ def linker(radius: int, similarity: float | None = None):
     return link
 
 
+def agreeing(share: float) -> float:
+    """Least count of equal values of two sketches for ``share``: bytes of different minima agree once in 256 times."""
+    return MINIMA * (share + (1 - share) / 256)
+
+
+def verify(marks: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set, the index of the first that links of ``similarity`` or more reach. Pairs whose sketches
+    agree are counted exactly, unless links join them already."""
+    n = len(sets)
+    label = np.arange(n)
+    agree = np.zeros((n, n), dtype=np.int16)
+    for k in range(MINIMA):
+        agree += marks[:, k, None] == marks[None, :, k]
+    i, j = np.nonzero(np.triu(agree >= agreeing(CANDIDATE), 1))
+    order = np.argsort(-agree[i, j], kind="stable")
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if label[a] == label[b]:
+            continue
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+            continue
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+            low, high = sorted((label[a], label[b]))
+            label[label == high] = low
+    return label
+
+
+def verifier(similarity: float):
+    """Over rows sorted by (bucket, node): exact links of each bucket, one bucket in memory at a time."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            v = t.column(1).to_numpy()
+            marks = np.frombuffer(b"".join(t.column(2).to_pylist()), dtype=np.uint8).reshape(-1, MINIMA)
+            label = verify(marks, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column(3)], similarity)
+            x, y = v, v[label]
+            linked = x != y
+            x, y = x[linked], y[linked]
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["u", "v"])
+
+        held: list[pa.RecordBatch] = []
+        current = None
+        for batch in batches:
+            buckets = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]]) if len(buckets) else []
+            for s, e in zip(starts, [*starts[1:], len(buckets)], strict=True):
+                if held and buckets[s] != current:
+                    yield solve(held)
+                    held = []
+                current = buckets[s]
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield solve(held)
+
+    return link
+
+
 def deal(rows: DataFrame, block: int) -> DataFrame:
     """(bucket, node) for each of a node's ``buckets`` that another node shares.
 
@@ -347,36 +419,49 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4, fill: int =
     return spread(prints, named, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 20, block: int = BLOCK) -> DataFrame:
-    """Documents by groups whose sets of ``shingle`` words are alike by ``similarity`` or more.
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 28, block: int = BLOCK) -> DataFrame:
+    """Documents by groups whose sets of ``shingle`` words are alike by ``similarity`` or more, by exact count.
 
     One row per distinct pair of doc_id and text that has words: doc_id, _sha (SHA-256 of the text), n (rows
     of the pair), component_id (the group's smallest doc_id) and kept, true for one pair of each
     group: that of the smallest doc_id, and of its texts the smallest by SHA-256. Ids may repeat.
 
     At that similarity fingerprints differ in many of their 64 bits, too many for blocks of equal
-    bits. Candidates share one of eight pairs of minima instead (of two texts of similarity 0.8, all but
-    3 in 10,000); the bit-sliced comparison abandons those beyond ``radius`` bits, and the rest
-    link if the sketches of 128 minima put their similarity at ``similarity`` or above. Equal sketches are one
-    node, under a key written with it; texts without words never link. Null ids keep to themselves.
+    bits. Candidates share one of sixteen pairs of minima instead (of two texts of similarity 0.8, all but
+    8 in 10**8); the bit-sliced comparison abandons those beyond ``radius`` bits, and the rest are linked
+    loosely if their sketches of 128 minima agree in CANDIDATE. Only members of such loose groups send their
+    sets of shingle hashes on, and within a group each candidate pair that is not yet joined is counted exactly.
+    Equal sets are one node, under a key written with it; texts without words never link. Null ids keep to themselves.
     """
-    text_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    text_batches(spark)
     sha = F.unhex(F.sha2("text", 256)).alias("_sha")
     sketched = docs.select("doc_id", sha, sketch_udf(shingle)("text").alias("s"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("w"))
-    rows = materialize(sketched.filter("w and doc_id is not null").select("doc_id", "_sha", "s.fp", "s.bands", "s.sketch"), "near-sketches")
+    rows = materialize(sketched.filter("w and doc_id is not null").select("doc_id", "_sha", "s.*"), "near-sketches")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_sha")
-    nodes = rows.groupBy("fp", "sketch").agg(F.min(place).alias("place"), F.first("bands").alias("buckets"))
+    nodes = rows.groupBy("set_id").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in ("fp", "sketch")], F.first("bands").alias("buckets"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     dealt = join_on(deal(nodes, block), nodes.select("node", "fp", "sketch"), ["node"])
-    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
-    links = dealt.select("bucket", "node", "fp", "sketch").mapInArrow(linker(radius, similarity), "u long, v long").distinct()
+    dealt = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "node")
+    links = dealt.select("bucket", "node", "fp", "sketch").mapInArrow(linker(radius, CANDIDATE), "u long, v long").distinct()
+    loose = join_on(nodes.select("node", "place", "sketch"), components(links, "near-loose"), ["node"])
+    loose = materialize(loose.select("node", "place.doc_id", "place._sha", "sketch", F.array("root").alias("buckets")), "near-candidates")
+
+    small = loose.limit(500_001).count() <= 500_000
+    wanted = loose.select("doc_id", "_sha", "node")
+    bodies = join_on(docs.select("doc_id", sha, F.col("text").alias("_text")), F.broadcast(wanted) if small else wanted.hint("merge"), ["doc_id", "_sha"])
+    sets = materialize(bodies.dropDuplicates(["node"]).select("node", set_udf(shingle)("_text").alias("set")), "near-sets")
+    dealt = join_on(join_on(deal(loose, SETS), loose.select("node", "sketch"), ["node"]), sets, ["node"])
+    dealt = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "node")
+    links = dealt.select("bucket", "node", "sketch", "set").mapInArrow(verifier(similarity), "u long, v long").distinct()
+
     roots = components(links, "near-links")
-    nodes = join_on(nodes.select("fp", "sketch", "node", "place"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = join_on(nodes.select("set_id", "node", "place"), roots, ["node"], "left").withColumn("root", F.coalesce("root", "node"))
     nodes = materialize(nodes, "near-rooted")
     first = nodes.groupBy("root").agg(F.min("place").alias("first"))
-    named = spread(nodes.drop("place"), first, ["root"], ["node"]).select("fp", "sketch", "first")
-    pairs = rows.groupBy("doc_id", "_sha").agg(F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
-    return spread(pairs, named, ["fp", "sketch"], ["doc_id", "_sha"]).select(
+    named = spread(nodes.drop("place"), first, ["root"], ["node"]).select("set_id", "first")
+    pairs = rows.groupBy("doc_id", "_sha").agg(F.count("*").alias("n"), F.first("set_id").alias("set_id"))
+    return spread(pairs, named, ["set_id"], ["doc_id", "_sha"]).select(
         "doc_id", "_sha", "n", F.col("first.doc_id").alias("component_id"), place.eqNullSafe(F.col("first")).alias("kept")
     )
 

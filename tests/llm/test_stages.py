@@ -43,3 +43,36 @@ def test_repeated_words_do_not_part_near_copies(spark):
         rows += [(i, " ".join(w + ["again"] * 5), "x"), (100 + i, " ".join(w + ["again"] * 100), "x")]
     got = ids_and_texts(simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA)))
     assert {i for i, _ in got} == set(range(10))
+
+
+def shingles(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def brute_near(rows):
+    """What drop_near_copies keeps, by all pairs: (doc_id, text) of the smallest id of each group, nulls last."""
+    texts = sorted({(i is None, i or 0, t) for i, t, _ in rows})
+    sets, label = [shingles(t) for *_, t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return Counter((None if texts[k][0] else texts[k][1], texts[k][2]) for k in set(label))
+
+
+def about_the_limit(rng, first, n=60):
+    """Pairs alike by 0.70 to 0.90: a text, and it with its last words replaced."""
+    rows = []
+    for i in range(n):
+        w = words(rng, 250)
+        swap = int(rng.integers(13, 44))
+        rows += [(first + 2 * i, " ".join(w), "x"), (first + 2 * i + 1, " ".join(w[:-swap] + words(rng, swap, "v")), "x")]
+    return rows
+
+
+def test_near_copies_on_both_sides_of_the_limit(spark):
+    rows = about_the_limit(np.random.default_rng(13), 0)
+    assert ids_and_texts(simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA))) == brute_near(rows)
