@@ -21,7 +21,9 @@ ISO_DATE = r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)"
 US_DATE = r"(?<!\d)\d{2}/\d{2}/\d{4}(?!\d)"
 SSN = r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)"
 PHONE = r"(?:\+1[ .-]?)?(?:\(\d{3}\) ?|(?<!\d)\d{3}[.-])\d{3}[.-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
-CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
+#: What ends a run of digit groups: another kind that starts there, or a group too long for a card.
+NOT_CARD = rf"{EMAIL}|{IP}|{ISO_DATE}|{US_DATE}|{SSN}|{PHONE}|\d{{20}}|(?=\d*[a-f])[0-9a-f]{{16,64}}(?![A-Za-z0-9])"
+CARD = rf"(?<!\d)(?!\d{{20}})\d(?:(?:[ -](?!{NOT_CARD}))?\d){{12,}}(?!\d)"
 HEX_KEY = r"(?<![A-Za-z0-9])[0-9a-f]{16,64}(?![A-Za-z0-9])"
 #: In order: the first that fits at a place wins.
 KINDS = {"email": EMAIL, "key": KEY, "ip": IP, "iso_date": ISO_DATE, "us_date": US_DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "hex": HEX_KEY}
@@ -110,15 +112,51 @@ def luhn_sum(digits: Column, doubled_last: bool) -> Column:
     return F.aggregate(F.transform(cs, value), F.lit(0), lambda acc, x: acc + x)
 
 
+def card_number(token: Column, digits: Column, key: str) -> Column:
+    """All digits but the last are permuted, and the last is set anew."""
+    head = F.substring(digits, F.lit(1), F.length(digits) - 1)
+    fresh = let(permute_text(head, DIGITS, F.lit("card"), key), lambda h: F.concat(h, F.pmod(-luhn_sum(h, True), F.lit(10)).cast("string")))
+    return refill(token, fresh, "0-9")
+
+
 def card_pseudonym(token: Column, key: str) -> Column:
-    """Numbers of 13 to 19 digits with a right check digit: all digits but the last are permuted, and the last is set anew."""
+    """Numbers of 13 to 19 digits with a right check digit within a run of digit groups, longest first, then leftmost.
+
+    A number is whole groups. In runs of over 19 digits, which may be tables of small numbers, its groups
+    have four digits or more, but for the last.
+    """
+
+    def run(parts: Column, total: Column) -> Column:
+        def at(i: Column) -> Column:
+            def cut(k: Column) -> Column:
+                piece = F.slice(parts, i, k)
+                digits = only(F.array_join(piece, ""), "0-9")
+                shaped = (total <= 19) | F.forall(F.slice(piece, F.lit(1), k - 1), lambda p: F.length(only(p, "0-9")) >= 4)
+                return F.struct((-F.length(digits)).alias("size"), i.alias("i"), k.alias("k"), digits.alias("digits"), shaped.alias("shaped"))
+
+            return F.transform(F.sequence(F.lit(1), F.least(F.lit(19), F.size(parts) - i + 1)), cut)
+
+        cuts = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), at))
+        cuts = F.filter(cuts, lambda c: c["size"].between(-19, -13) & c["shaped"] & (luhn_sum(c["digits"], False) % 10 == 0))
+
+        def take(taken: Column, c: Column) -> Column:
+            apart = F.forall(taken, lambda t: (c["i"] >= t["i"] + t["k"]) | (t["i"] >= c["i"] + c["k"]))
+            return F.when(apart, F.concat(taken, F.array(c))).otherwise(taken)
+
+        kind = "array<struct<size:int,i:int,k:int,digits:string,shaped:boolean>>"
+        chosen = F.aggregate(F.array_sort(cuts).cast(kind), F.array().cast(kind), take)
+
+        def rebuilt(taken: Column) -> Column:
+            def part(p: Column, i: Column) -> Column:
+                inside = F.get(F.filter(taken, lambda t: (i + 1 >= t["i"]) & (i + 1 < t["i"] + t["k"])), F.lit(0))
+                number = let(inside, lambda t: card_number(F.array_join(F.slice(parts, t["i"], t["k"]), ""), t["digits"], key))
+                return F.when(inside.isNull(), p).when(inside["i"] == i + 1, number).otherwise("")
+
+            return F.when(F.size(taken) == 0, token).otherwise(F.array_join(F.transform(parts, part), ""))
 
-    def valid(digits: Column) -> Column:
-        head = F.substring(digits, F.lit(1), F.length(digits) - 1)
-        fresh = let(permute_text(head, DIGITS, F.lit("card"), key), lambda h: F.concat(h, F.pmod(-luhn_sum(h, True), F.lit(10)).cast("string")))
-        return F.when(luhn_sum(digits, False) % 10 == 0, refill(token, fresh, "0-9")).otherwise(token)
+        return let(chosen, rebuilt)
 
-    return let(only(token, "0-9"), valid)
+    return let(F.regexp_extract_all(token, F.lit(r"\d+[ -]?"), F.lit(0)), lambda parts: run(parts, F.length(only(token, "0-9"))))
 
 
 def ip_pseudonym(token: Column, key: str) -> Column:
@@ -170,7 +208,7 @@ def kind_of(token: Column) -> Column:
     out = F.when(token.contains("@"), "email").when(token.startswith("AKIA"), "key")
     for name, shape in (
         ("ip", r"^\d+\.\d+\.\d+\.\d+$"), ("iso_date", r"^\d{4}-\d{2}-\d{2}$"), ("us_date", r"^\d{2}/\d{2}/\d{4}$"), ("ssn", r"^\d{3}-\d{2}-\d{4}$"),
-        ("phone", f"^(?:{PHONE})$"), ("card", r"^\d(?:[ -]?\d){12,18}$"),
+        ("phone", f"^(?:{PHONE})$"), ("card", r"^(?!\d{20})\d(?:[ -]?\d){12,}$"),
     ):
         out = out.when(token.rlike(shape), name)
     return out.otherwise("hex")
