@@ -424,20 +424,21 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
 
     One row per distinct pair of doc_id and text that has words: doc_id, _sha (SHA-256 of the text), n (rows
     of the pair), component_id (the group's smallest doc_id) and kept, true for one pair of each
-    group: that of the smallest doc_id, and of its texts the smallest by SHA-256. Ids may repeat.
+    group: that of the smallest doc_id, and of its texts the smallest by SHA-256. Ids may repeat or be null; a null
+    id comes after all others.
 
     At that similarity fingerprints differ in many of their 64 bits, too many for blocks of equal
     bits. Candidates share one of sixteen pairs of minima instead (of two texts of similarity 0.8, all but
     8 in 10**8); the bit-sliced comparison abandons those beyond ``radius`` bits, and the rest are linked
     loosely if their sketches of 128 minima agree in CANDIDATE. Only members of such loose groups send their
     sets of shingle hashes on, and within a group each candidate pair that is not yet joined is counted exactly.
-    Equal sets are one node, under a key written with it; texts without words never link. Null ids keep to themselves.
+    Equal sets are one node, under a key written with it; texts without words never link.
     """
     spark = docs.sparkSession
     text_batches(spark)
     sha = F.unhex(F.sha2("text", 256)).alias("_sha")
     sketched = docs.select("doc_id", sha, sketch_udf(shingle)("text").alias("s"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("w"))
-    rows = materialize(sketched.filter("w and doc_id is not null").select("doc_id", "_sha", "s.*"), "near-sketches")
+    rows = materialize(sketched.filter("w").select("doc_id", "_sha", "s.*"), "near-sketches")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_sha")
     nodes = rows.groupBy("set_id").agg(F.min(place).alias("place"), *[F.first(c).alias(c) for c in ("fp", "sketch")], F.first("bands").alias("buckets"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")

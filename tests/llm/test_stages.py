@@ -89,3 +89,11 @@ def test_card_numbers_beside_other_numbers(spark):
     out = {r.doc_id: r.text for r in pseudonyms.pseudonymise(docs, "k").collect()}
     for i, (text, want) in enumerate(cases):
         assert re.fullmatch(want, out[i]), (text, out[i])
+
+
+def test_near_copies_of_null_ids(spark):
+    rng = np.random.default_rng(14)
+    a, b, c = (words(rng, 200) for _ in range(3))
+    rows = [(7, " ".join(a), "x"), (None, " ".join(a[:-4]), "x"), (None, " ".join(b), "x"), (None, " ".join(b[:-3]), "x"), (None, " ".join(c), "x"), (None, " ".join(c), "x"), (None, "", "x"), (None, "", "x")]
+    got = Counter(r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).filter("text != ''").collect())
+    assert got == {7: 1, None: 2}
