@@ -1,14 +1,18 @@
-"""Shared plumbing: shared-folder tables, skew-proof joins and distributed prefix sums."""
+"""Shared plumbing: skew-proof joins, and the tables and distributed prefix sums of operators.ranges."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from aptaforge.operators.ranges import join_on, materialize, positions, prefix_sums, ranged
+
+__all__ = [
+    "SPACE", "WORD", "drop_marked", "join_on", "let", "materialize", "positions", "prefix_sums", "ranged", "shuffle_partitions", "spread", "table", "text_batches",
+    "worker_cache",
+]
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,28 +27,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="aptaforge-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage with files that survive lost executors, and keeps column pruning
-    and filter pushdown for what reads the table.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Send Python workers at most ``rows`` texts at once: they may be long, and a batch is held several times over."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -61,23 +43,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on ``keys``."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
-def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Null-safe equi-join that keeps ``keys`` once, from the left."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"_r_{k}"])
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def spread(df: DataFrame, per_key: DataFrame, keys: list[str], salt_by: list[str], how: str = "inner") -> DataFrame:
     """Join ``per_key`` (unique on ``keys``) to ``df`` without gathering a hot key in one task.
 
@@ -90,54 +55,15 @@ def spread(df: DataFrame, per_key: DataFrame, keys: list[str], salt_by: list[str
     return join_on(salted, join_on(slots, per_key, keys, how), [*keys, "_salt"], how).drop("_salt")
 
 
-def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Range-partition and sort by ``order``, note the partition in ``_part``, and materialize."""
-    n = shuffle_partitions(df.sparkSession)
-    by = [F.col(c).asc_nulls_last() for c in order]
-    cut = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
-    return materialize(cut, name)
-
-
-def prefix_sums(
-    df: DataFrame, groups: list[str], order: list[str], sums: dict[str, Column], name: str, per_group: DataFrame | None = None
-) -> DataFrame:
-    """Exclusive running sums within ``groups`` in ``order``, over any number of rows in a group.
-
-    Rows are range-partitioned by (groups, order). Each slice (group within a partition) is
-    totalled, the totals are prefix-summed (at most one row for each partition and group), and
-    every row adds its position within its slice. No task holds more than a slice. ``per_group``,
-    unique on ``groups``, joins to the slices, so that its columns reach the rows without a
-    join on a hot group.
-    """
-    cut = ranged(df, [*groups, *order], name)
-    by = [F.col(c).asc_nulls_last() for c in order]
-    slices = cut.groupBy(*groups, "_part").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
-    if per_group is not None:
-        slices = join_on(slices, per_group, groups)
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(
-        *[c for c in slices.columns if not c.startswith("_t_")],
-        *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in sums],
-    )
-    within = Window.partitionBy(*groups, "_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.select("*", *[F.coalesce(F.sum(v).over(within), F.lit(0)).alias(f"_l_{k}") for k, v in sums.items()])
-    out = join_on(local, slices, [*groups, "_part"])
-    out = out.withColumns({k: F.col(f"_l_{k}") + F.col(f"_b_{k}") for k in sums})
-    return out.drop("_part", *[f"_l_{k}" for k in sums], *[f"_b_{k}" for k in sums])
-
-
-def drop_marked(df: DataFrame, marks: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
-    """``df`` by its ``marks`` (unique on ``keys``, which compare null-safely, and a flag ``_stays``).
+def drop_marked(rows: DataFrame, marks: DataFrame, keys: list[str], most: int = 500_000) -> DataFrame:
+    """The structs ``doc`` of ``rows`` (doc, and ``keys``) by their ``marks`` (unique on ``keys``, which compare null-safely, and a flag ``stays``).
 
     Rows without a mark stay; those whose mark does not stay go; of the rows that share a mark that
-    stays, the smallest does. Marks are broadcast up to ``most``, else joined by sort-merge. Keys with a
-    leading underscore are not in the result.
+    stays, the first as JSON does. Marks are broadcast up to ``most``, else joined by sort-merge.
     """
     small = marks.limit(most + 1).count() <= most
-    columns = [c for c in df.columns if not (c in keys and c.startswith("_"))]
-    joined = join_on(df, F.broadcast(marks) if small else marks.hint("merge"), keys, "left")
-    out = joined.filter("_stays is null").select(*columns)
-    if not marks.filter("_stays").limit(1).count():
-        return out
-    once = joined.filter("_stays").groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_row"))
-    return out.unionByName(once.select("_row.*"))
+    joined = join_on(rows, F.broadcast(marks) if small else marks.hint("merge"), keys, "left")
+    out = joined.filter("stays is null").select("doc")
+    if marks.filter("stays").limit(1).count():
+        out = out.unionAll(joined.filter("stays").groupBy(*keys).agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc"))
+    return out.select("doc.*")

@@ -88,7 +88,7 @@ def recipes(docs: DataFrame, bits: int = 11, id_bytes: int = 16) -> DataFrame:
     tagged = materialize(tagged, "dedup-tagged")
     parts = tagged.select("row", F.posexplode_outer(F.arrays_zip("ids", "chunks")).alias("pos", "x"))
     parts = parts.select("row", "pos", F.col("x.ids").alias("id"), F.col("x.chunks").alias("chunk"))
-    parts = join_on(parts, named, ["id", "chunk"], "left")
+    parts = spread(parts, named, ["id", "chunk"], ["row", "pos"], "left")
     name = F.when(F.col("id").isNotNull(), F.concat("id", F.coalesce(F.col("rank").cast("string"), F.lit("0")).cast("binary")))
     lists = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", name.alias("id"))))).alias("l"))
     lists = lists.select("row", F.col("l.id").alias("recipe"))
@@ -103,23 +103,21 @@ def group_copies(docs: DataFrame, bits: int = 11, id_bytes: int = 16) -> DataFra
     that doc_id and text, one stays. Null text counts as empty; a null doc_id stays only if
     its group has no other; an empty table gives no rows.
     """
-    rows = materialize(recipes(docs, bits, id_bytes), "dedup-recipes")
-    groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = spread(rows, groups, ["recipe"], ["doc_id"])
-    copies = rows.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    if copies:
-        by = Window.partitionBy("recipe", "doc_id").orderBy("text_sha256")
-        first = first & (F.row_number().over(by) == 1)
-    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), first.alias("kept"), "text_sha256")
+    rows = materialize(recipes(docs, bits, id_bytes).withColumn("row", F.monotonically_increasing_id()), "dedup-recipes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"]
+    groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"), first.alias("first_row"))
+    out = spread(rows, groups, ["recipe"], ["doc_id", "row"])
+    return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("row") == F.col("first_row")).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with the rows that group_copies keeps: one of each group of equal texts.
 
-    A row is told by its doc_id and text together, null-safely, so ids may repeat or be null. Texts
+    A row is told by its doc_id and text together, null-safely, so ids may repeat or be null; null text counts as empty.
+    Extra columns pass through whatever their names; an empty table stays empty. Texts
     move only if over 500,000 pairs of id and text go, and those of rows that repeat such a pair.
     """
-    pairs = group_copies(docs).groupBy("doc_id", F.unhex("text_sha256").alias("_sha")).agg(F.max("kept").alias("_stays"), F.count("*").alias("n"))
-    marks = materialize(pairs.filter("not _stays or n > 1").drop("n"), "dedup-marks")
-    return drop_marked(docs.withColumn("_sha", F.unhex(F.sha2(normalised(), 256))), marks, ["doc_id", "_sha"])
+    pairs = group_copies(docs).groupBy("doc_id", F.unhex("text_sha256").alias("sha")).agg(F.max("kept").alias("stays"), F.count("*").alias("n"))
+    marks = materialize(pairs.filter("not stays or n > 1").drop("n"), "dedup-marks")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.unhex(F.sha2(normalised(), 256)).alias("sha"))
+    return drop_marked(rows, marks, ["doc_id", "sha"])

@@ -470,11 +470,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radi
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one that near_copies keeps.
 
-    A row is told by its doc_id and text together, null-safely, and one of rows that repeat both stays. Texts
+    A row is told by its doc_id and text together, null-safely, and one of rows that repeat both stays. Texts without
+    words (null too) all stay. Extra columns pass through whatever their names; an empty table stays empty. Texts
     move only if over 500,000 such pairs go, and those of repeated rows.
     """
-    marks = materialize(near_copies(docs).filter("not kept or n > 1").select("doc_id", "_sha", F.col("kept").alias("_stays")), "near-marks")
-    return drop_marked(docs.withColumn("_sha", F.unhex(F.sha2("text", 256))), marks, ["doc_id", "_sha"])
+    marks = near_copies(docs).filter("not kept or n > 1").select("doc_id", F.col("_sha").alias("sha"), F.col("kept").alias("stays"))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
+    return drop_marked(rows, materialize(marks, "near-marks"), ["doc_id", "sha"])
 
 
 def hex_print(fp: str = "fp"):
