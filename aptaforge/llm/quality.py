@@ -44,26 +44,27 @@ def _measures(words: Column) -> Column:
     return F.struct(n.cast("long").alias("n_words"), repeated.cast("long").alias("n_repeat_words"))
 
 
-def text_measures(docs: DataFrame) -> DataFrame:
-    """``docs`` plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed.
+def text_measures(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of a text that is not null.
 
     Windows are compared by 64-bit hashes within a document: in a text of a million words, two
     different windows share one with a probability below 1e-7.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     counted = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
-    out = docs.withColumn("_m", let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _measures)).withColumn("_l", counted)
-    out = out.select(
-        *docs.columns,
-        F.col("_m.n_words").alias("n_words"),
+    words = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), _measures)
+    return F.struct(
+        words["n_words"].alias("n_words"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.col("_l.n").alias("n_lines"),
-        F.col("_l.dup").alias("n_dup_lines"),
-        F.col("_m.n_repeat_words").alias("n_repeat_words"),
+        counted["n"].alias("n_lines"),
+        counted["dup"].alias("n_dup_lines"),
+        words["n_repeat_words"].alias("n_repeat_words"),
     )
-    return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
 def rule_failed() -> Column:
@@ -102,19 +103,27 @@ def beta_prior(hosts: int, docs: int, fails: int, squares: float) -> tuple[float
     return m * strength, (1 - m) * strength
 
 
-def judge(docs: DataFrame, host: str = "source", most: float = 0.5) -> DataFrame:
-    """``docs`` with measures, host_rate, host_rejected and ``kept``.
+def judge(docs: DataFrame, host: str = "source", most: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """(doc, quality): the columns of ``docs`` as a struct, so that no name of theirs can clash, and a struct of the measures,
+    base_failed, host_rate, host_rejected and ``kept``. ``carry`` names the columns that ``doc`` holds, all by default.
 
     A document goes if it fails the base rule or if its host's shrunk failure rate exceeds
-    ``most``. The measured table is written once, so texts are read and split once. Null
-    text has no words and so fails; a null host is a host of its own; repeated rows each count;
-    an empty table gives no rows; all columns of ``docs`` pass through.
+    ``most``. What ``doc`` carries is written once with the measures, so texts are read and split once, and without ``text`` in it no text is
+    written. Null text has no words and so fails; a null host is a host of its own; repeated rows each count;
+    an empty table gives no rows.
     """
-    clash = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "docs", "fails", "host_rate", "host_rejected", "kept"}
-    measured = materialize(text_measures(docs.drop(*(clash & set(docs.columns)))), "quality-measured")
-    verdicts = materialize(host_verdicts(measured, host, most), "quality-hosts")
+    measures = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+    rows = docs.select(F.struct(*(docs.columns if carry is None else carry)).alias("doc"), F.col(host).alias("host"), text_measures(F.coalesce(F.col("text"), F.lit(""))).alias("m"))
+    measured = materialize(rows.select("doc", "host", *[F.col(f"m.{c}").alias(c) for c in measures]).withColumn("base_failed", base_failed()), "quality-measured")
+    verdicts = materialize(host_verdicts(measured, "host", most), "quality-hosts").select("host", "host_rate", "host_rejected")
     if verdicts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        out = join_on(measured, F.broadcast(verdicts), [host])
+        out = join_on(measured, F.broadcast(verdicts), ["host"])
     else:
-        out = spread(measured, verdicts, [host], ["doc_id"])
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
+        out = spread(measured, verdicts, ["host"], ["n_words", "word_chars", "doc"])
+    kept = ~F.col("base_failed") & ~F.col("host_rejected")
+    return out.select("doc", F.struct(*measures, "base_failed", "host_rate", "host_rejected", kept.alias("kept")).alias("quality"))
+
+
+def keep_good(docs: DataFrame, host: str = "source", most: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
+    return judge(docs, host, most).filter("quality.kept").select("doc.*")

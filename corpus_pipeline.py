@@ -13,7 +13,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and whose host is not rejected."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    return quality.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
