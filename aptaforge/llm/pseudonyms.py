@@ -9,8 +9,8 @@ from aptaforge.llm.common import let
 
 ROUNDS = 8
 DIGITS, HEX, LETTERS, BASE32 = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Days of the Gregorian cycle of 400 years: 146097 = 189 * 773.
-CYCLE = (189, 773)
+#: Days of the Gregorian cycle of 400 years from 0001-01-01 on: 146097 = 189 * 773. The last one, 9601 to 9999, has 145731 = 93 * 1567.
+CYCLE, LAST_CYCLE, CYCLES = (189, 773), (93, 1567), 24
 #: Valid social security numbers: areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999.
 SSN_SPACE = (898, 99 * 9999)
 
@@ -24,7 +24,8 @@ PHONE = r"(?:\+1[ .-]?)?(?:\(\d{3}\) ?|(?<!\d)\d{3}[.-])\d{3}[.-]\d{4}(?!\d)|(?<
 #: What ends a run of digit groups: another kind that starts there, or a group too long for a card.
 NOT_CARD = rf"{EMAIL}|{IP}|{ISO_DATE}|{US_DATE}|{SSN}|{PHONE}|\d{{20}}|(?=\d*[a-f])[0-9a-f]{{16,64}}(?![A-Za-z0-9])"
 CARD = rf"(?<!\d)(?!\d{{20}})\d(?:(?:[ -](?!{NOT_CARD}))?\d){{12,}}(?!\d)"
-HEX_KEY = r"(?<![A-Za-z0-9])[0-9a-f]{16,64}(?![A-Za-z0-9])"
+#: Bare digits are no key.
+HEX_KEY = r"(?<![A-Za-z0-9])(?=[0-9]*[a-f])[0-9a-f]{16,64}(?![A-Za-z0-9])"
 #: In order: the first that fits at a place wins.
 KINDS = {"email": EMAIL, "key": KEY, "ip": IP, "iso_date": ISO_DATE, "us_date": US_DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "hex": HEX_KEY}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -171,12 +172,14 @@ def ip_pseudonym(token: Column, key: str) -> Column:
 
 
 def date_pseudonym(token: Column, form: str, key: str) -> Column:
-    """Valid dates move within their cycle of 400 years."""
-    days, base, (m, n) = F.unix_date(F.try_to_timestamp(token, F.lit(form)).cast("date")), -719528 + 60, CYCLE
+    """Valid dates of the years 1 to 9999 move within their cycle of 400 years, so a date may move by centuries."""
+    days, first = F.unix_date(F.try_to_timestamp(token, F.lit(form)).cast("date")), -719162
 
     def build(d: Column) -> Column:
-        at = F.pmod(d - base, F.lit(m * n))
-        pair = permute_pair(exact_div(at.cast("long"), F.lit(n)), at % n, F.lit(m), F.lit(n), F.lit("date"), key)
+        cycle = exact_div((d - first).cast("long"), F.lit(CYCLE[0] * CYCLE[1]))
+        at = (d - first).cast("long") - cycle * (CYCLE[0] * CYCLE[1])
+        m, n = (F.when(cycle < CYCLES, x).otherwise(y).cast("long") for x, y in zip(CYCLE, LAST_CYCLE, strict=True))
+        pair = permute_pair(exact_div(at, n), at % n, m, n, F.lit("date"), key)
         fresh = let(pair, lambda p: (d - at + p["a"] * n + p["b"]).cast("int"))
         return F.when(d.isNull(), token).otherwise(F.date_format(F.date_from_unix_date(fresh), form))
 
@@ -229,11 +232,30 @@ def pseudonym(token: Column, kind: Column, key: str) -> Column:
 
 
 def phone_digits(token: Column, key: str) -> Column:
-    """The last ten digits are permuted (all, of shorter numbers); a country code before them stays."""
-    return let(
-        only(token, "0-9"),
-        lambda d: F.concat(F.substring(d, F.lit(1), F.greatest(F.length(d) - 10, F.lit(0))), permute_text(F.substring(d, F.greatest(F.length(d) - 9, F.lit(1)), F.lit(10)), DIGITS, F.lit("phone"), key)),
-    )
+    """The digits of a telephone number, its country code in place.
+
+    North American numbers (ten digits, or one more before them that is 1) are validated: area and exchange that both begin with 2 to 9 are
+    permuted among such numbers. Others of that shape are permuted among their like (areas below 200; exchanges below 200 in
+    other areas), so that no invalid number becomes a valid one. Of other countries' numbers the last ten digits are permuted.
+    """
+
+    def north_american(d: Column) -> Column:
+        own = F.substring(d, -10, 10)
+        area, exchange, line = (F.substring(own, *x).cast("long") for x in ((1, 3), (4, 3), (7, 4)))
+        low, few = area < 200, exchange < 200
+        a, m = F.when(low, area).otherwise(area - 200), F.when(low, F.lit(200)).otherwise(F.lit(800))
+        base = F.when(low | few, F.lit(0)).otherwise(F.lit(200))
+        n = F.when(low, F.lit(1000)).when(few, F.lit(200)).otherwise(F.lit(800)) * 10_000
+        pair = permute_pair(a, (exchange - base) * 10_000 + line, m.cast("long"), n.cast("long"), F.lit("phone"), key)
+        text = let(pair, lambda p: F.concat(F.lpad((p["a"] + F.when(low, 0).otherwise(200)).cast("string"), 3, "0"), F.lpad((p["b"] + base * 10_000).cast("string"), 7, "0")))
+        return F.concat(F.substring(d, F.lit(1), F.length(d) - 10), text)
+
+    def build(d: Column) -> Column:
+        here = (F.length(d) == 10) & ~token.startswith("+") | (F.length(d) == 11) & d.startswith("1")
+        other = F.concat(F.substring(d, F.lit(1), F.greatest(F.length(d) - 10, F.lit(0))), permute_text(F.substring(d, F.greatest(F.length(d) - 9, F.lit(1)), F.lit(10)), DIGITS, F.lit("phone"), key))
+        return F.when(here, north_american(d)).otherwise(other)
+
+    return let(only(token, "0-9"), build)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -243,9 +265,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     calendar, number ranges), and each valid one is permuted, under ``key``, among the values
     of its format by a Feistel network. The same value gets the same pseudonym in every document, whatever its
     separators; different values of a format never share one. Invalid ones stay. Null text stays
-    null, with an empty array; extra columns pass through; a column named ``pii`` is replaced.
-    Nothing is shuffled.
+    null, with an empty array; empty texts and repeated rows are like any other; an empty table stays empty; extra columns pass through;
+    a column named ``pii`` is replaced. Nothing is shuffled.
+
+    The key is a literal of the plan, marked by ``pseudonym-key:``; set spark.sql.redaction.string.regex to ``pseudonym-key:[^|,)]*`` for it to
+    be left out of plans, the UI and event logs.
     """
+    key = f"pseudonym-key:{key}"
     text = F.col(text_col)
     found = F.when(F.coalesce(text.rlike(r"\d|@|[0-9a-f]{16}|AKIA"), F.lit(False)), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
