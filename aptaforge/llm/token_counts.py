@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import pickle
+import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aptaforge.llm.common import text_batches, worker_cache
+from aptaforge.llm.common import materialize, shuffle_partitions, text_batches, worker_cache
 
 SPACE_MARK = "▁"
+#: Marks and the word after them.
+HEAD = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]*")
+#: Texts of more characters are mapped in pieces of so many by several tasks.
+LONG = 1 << 20
+State = tuple[str, tuple[tuple[int, str, int], ...], bool]
+
+
+@dataclass
+class StateMap:
+    """From any entry state: the run of ``head``, then ``rest``, a state and a count (None: the state after ``head``). ``table`` keeps values found."""
+
+    head: str
+    rest: tuple[State, int] | None
+    table: dict[State, tuple[State, int]] = field(default_factory=dict)
 
 
 class CountingTransducer:
@@ -28,13 +45,16 @@ class CountingTransducer:
     read. States and transitions are compiled when first met, their number depends on the
     vocabulary and not on the texts; words kept are bounded by twice ``most``, transitions by four times.
 
-    A chunk's state map is (head, count, tail): from any state, it ends that state's segment with
-    ``head``, emits ``count`` for whole segments, and leaves the state that ``tail`` leads to (None: there
-    was no boundary, and ``head`` goes on). Maps compose associatively, so chunks of a text
-    run apart and a prefix scan joins them.
+    A mark after a word leads where it leads from the first state, as tokens never cross it. The **state map** of a chunk
+    takes each state to the state after the chunk and the count emitted on the way. All entry states meet at the chunk's first
+    mark after a word: up to there (``head``) a map's value is found by running the transitions from the state asked for, and kept in its table;
+    from there on (``rest``) it is the same state and count for all. Maps compose associatively, so chunks are mapped apart, by any worker,
+    and a tree of compositions joins them; states in maps are written out (not numbered), so they outlive resets and workers.
     """
 
     START, BYTES = "", "\0"
+    #: Of a state: the suffix that later characters can extend, its points (back, last token, count), and whether a word has begun.
+    FIRST: State = ("", ((0, "", 0),), False)
 
     def __init__(self, pieces: dict[str, float], dummy_prefix: bool = True, most: int = 200_000):
         self.pieces, self.dummy_prefix, self.most = pieces, dummy_prefix, most
@@ -46,8 +66,8 @@ class CountingTransducer:
 
     def reset(self) -> None:
         self.delta: dict[int, int] = {}  # state and character to next state and count, each pair in one number
-        self.states = [("", ((0, self.START, 0),))]
-        self.number = {self.states[0]: 0}
+        self.states = [self.FIRST]
+        self.number = {self.FIRST: 0}
 
     @classmethod
     def from_model(cls, path: str, most: int = 200_000) -> CountingTransducer:
@@ -92,7 +112,10 @@ class CountingTransducer:
 
     def step(self, state: int, char: str) -> int:
         """Compile the transition from ``state`` by ``char``."""
-        suffix, points = self.states[state]
+        suffix, points, in_word = self.states[state]
+        if char == SPACE_MARK and in_word:
+            found = self.delta[state << 21 | ord(char)] = self.delta.get(ord(char)) or self.step(0, char)
+            return found
         suffix += char
         end, pieces, begins = len(suffix), self.pieces, self.begins
         if char not in pieces and char not in begins:
@@ -106,71 +129,89 @@ class CountingTransducer:
             else:  # a character that only begins pieces
                 emitted, token = len(char.encode("utf-8", "surrogatepass")), self.BYTES
         kept = [(back + 1, last, count + emitted) for back, last, count in points if suffix[end - back - 1 :] in begins]
-        key = (suffix[end - kept[-1][0] :] if kept else "", ((0, token, 0), *kept))
-        to = self.number.setdefault(key, len(self.states))
-        if to == len(self.states):
-            self.states.append(key)
+        to = self.numbered((suffix[end - kept[-1][0] :] if kept else "", ((0, token, 0), *kept), char != SPACE_MARK))
         found = self.delta[state << 21 | ord(char)] = to << 12 | emitted + 2048
         return found
 
+    def numbered(self, state: State) -> int:
+        number = self.number.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        return number
+
+    def drive(self, state: State, text: str) -> tuple[State, int]:
+        """The state after ``text`` from ``state``, and the count emitted."""
+        if len(self.delta) > 4 * self.most:
+            self.reset()
+        if len(self.apart) > 2 * self.most:
+            self.apart.clear()
+        at, count, delta = self.numbered(state), 0, self.delta
+        for char in text:
+            found = delta.get(at << 21 | ord(char)) or self.step(at, char)
+            at = found >> 12
+            count += (found & 4095) - 2048
+        return self.states[at], count
+
     def run(self, segment: str) -> int:
-        """The count that the path of one segment emits."""
+        """The count that the path of one segment from the first state emits; kept, as words recur."""
         count = self.young.get(segment)
         if count is None:
             count = self.old.get(segment)
             if count is None:
-                if len(self.delta) > 4 * self.most:
-                    self.reset()
-                if len(self.apart) > 2 * self.most:
-                    self.apart.clear()
-                state, count, delta = 0, 0, self.delta
-                for char in segment:
-                    found = delta.get(state << 21 | ord(char)) or self.step(state, char)
-                    state = found >> 12
-                    count += (found & 4095) - 2048
+                count = self.drive(self.FIRST, segment)[1]
             if len(segment) <= 64:
                 if len(self.young) > self.most:
                     self.young, self.old = {}, self.young
                 self.young[segment] = count
         return count
 
-    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
+    def chunk_map(self, chunk: str) -> StateMap:
         """The state map of a chunk of marked text."""
-        segments = split_segments(chunk)
-        if len(segments) == 1:
-            return segments[0], 0, None
-        head, *middle, tail = segments
+        end = HEAD.match(chunk).end()
+        if end == len(chunk):
+            return StateMap(chunk, None)
+        *middle, tail = split_segments(chunk[end:])
         found = list(map(self.young.get, middle))
-        return head, sum([self.run(middle[i]) if n is None else n for i, n in enumerate(found)]), tail
-
-    def compose(self, a: tuple[str, int, str | None], b: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
-        """First ``a``, then ``b``. The cut between them is no boundary unless a word ends at it and a mark follows."""
-        head, count, tail = a
-        last = head if tail is None else tail
-        joined = split_segments(last + b[0])
-        if b[2] is None:
-            if len(joined) == 1:
-                return (joined[0], count, None) if tail is None else (head, count, joined[0])
-            if tail is None:
-                return joined[0], count + sum(map(self.run, joined[1:-1])), joined[-1]
-            return head, count + sum(map(self.run, joined[:-1])), joined[-1]
-        if tail is None:
-            return joined[0], count + b[1] + sum(map(self.run, joined[1:])), b[2]
-        return head, count + b[1] + sum(map(self.run, joined)), b[2]
-
-    def scan(self, maps: list[tuple[str, int, str | None]]) -> tuple[str, int, str | None]:
+        count = sum([self.run(middle[i]) if n is None else n for i, n in enumerate(found)])
+        state, last = self.drive(self.FIRST, tail)
+        return StateMap(chunk[:end], (state, count + last))
+
+    def at(self, chunk: StateMap, state: State) -> tuple[State, int]:
+        """The map's value for one entry state."""
+        found = chunk.table.get(state)
+        if found is None and state == self.FIRST and chunk.rest:
+            found = chunk.rest[0], self.run(chunk.head) + chunk.rest[1]
+        if found is None:
+            after, count = self.drive(state, chunk.head)
+            found = chunk.table[state] = (after, count) if chunk.rest is None else (chunk.rest[0], count + chunk.rest[1])
+        return found
+
+    def compose(self, a: StateMap, b: StateMap) -> StateMap:
+        """First ``a``, then ``b``."""
+        if a.rest is None:
+            out = StateMap(a.head + b.head, b.rest)
+            for entry, (state, count) in a.table.items():
+                after, more = self.at(b, state)
+                out.table[entry] = after, count + more
+            return out
+        after, more = self.at(b, a.rest[0])
+        return StateMap(a.head, (after, a.rest[1] + more))
+
+    def scan(self, maps: list[StateMap]) -> StateMap:
         """Composition of all maps, pairwise in a tree."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         return maps[0]
 
+    def marked(self, text: str, first: bool = True) -> str:
+        return (SPACE_MARK if self.dummy_prefix and first else "") + text.replace(" ", SPACE_MARK)
+
     def count(self, text: str, chunk: int = 1 << 16) -> int:
         """Tokens of a whole text."""
         if not text:
             return 0
-        marked = (SPACE_MARK if self.dummy_prefix else "") + text.replace(" ", SPACE_MARK)
-        head, count, tail = self.scan([self.chunk_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)])
-        return count + self.run(head) + (self.run(tail) if tail else 0)
+        marked = self.marked(text)
+        return self.at(self.scan([self.chunk_map(marked[i : i + chunk]) for i in range(0, len(marked), chunk)]), self.FIRST)[1]
 
     def counts(self, texts: Iterable[str | None]) -> list[int]:
         return [self.count(t or "") for t in texts]
@@ -192,21 +233,54 @@ def split_segments(marked: str) -> list[str]:
     return out
 
 
-def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
+def transducer(model: str) -> CountingTransducer:
+    """The worker's transducer, kept from task to task."""
+    machine = worker_cache().setdefault(("transducer", model), None) or CountingTransducer.from_model(model)
+    worker_cache()["transducer", model] = machine
+    return machine
+
+
+def count_tokens(docs: DataFrame, model: str, limit: int = 4096, long: int = LONG) -> DataFrame:
     """One row per document: doc_id, n_bytes (UTF-8), n_tokens of the whole text, over_limit.
 
-    ``model`` is the path of a sentence-piece model on every executor. Null text counts as
-    empty; repeated rows are counted each; extra columns are ignored.
+    ``model`` is the path of a sentence-piece model on every executor. A text of up to ``long`` characters is counted where it lies. A
+    longer one is cut into pieces that are dealt over all tasks; each yields its state map, and a document's
+    maps, a few numbers for each piece, are composed in order. Null text counts as
+    empty; null ids are ids like any other; repeated rows are counted each; extra columns are ignored; an empty table gives no rows.
     """
 
     @F.pandas_udf("long")
     def tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = worker_cache().setdefault(("transducer", model), None) or CountingTransducer.from_model(model)
-        worker_cache()["transducer", model] = machine
+        machine = transducer(model)
         for batch in texts:
             yield pd.Series(machine.counts(batch), dtype="int64")
 
-    text_batches(docs.sparkSession)
+    @F.pandas_udf("binary")
+    def maps(pieces: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        machine = transducer(model)
+        for at, texts in pieces:
+            found = [machine.chunk_map(machine.marked(t, k == 0)) for k, t in zip(at, texts, strict=True)]
+            yield pd.Series([pickle.dumps((m.head, m.rest)) for m in found])
+
+    @F.pandas_udf("long")
+    def composed(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        machine = transducer(model)
+        for batch in lists:
+            chains = ([StateMap(*pickle.loads(m)) for m in maps_] for maps_ in batch)
+            yield pd.Series([machine.at(machine.scan(chain), machine.FIRST)[1] for chain in chains], dtype="int64")
+
+    spark = docs.sparkSession
+    text_batches(spark)
     body = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), tokens("text").alias("n_tokens"))
+    sized = docs.select("doc_id", F.octet_length(body).cast("long").alias("n_bytes"), "text")
+    is_long = F.coalesce(F.length("text") > long, F.lit(False))
+    counted = ["doc_id", "n_bytes", "n_tokens"]
+    out = sized.filter(~is_long).withColumn("n_tokens", tokens("text")).select(*counted)
+    if sized.filter(is_long).limit(1).count():
+        rows = materialize(sized.filter(is_long).withColumn("row", F.monotonically_increasing_id()), "tokens-long")
+        cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / long).cast("int")), lambda k: F.substring(F.col("text"), k * long + 1, F.lit(long)))
+        pieces = rows.select("row", F.posexplode(cuts).alias("pos", "piece")).repartition(shuffle_partitions(spark), "row", "pos")
+        mapped = pieces.select("row", "pos", maps("pos", "piece").alias("map")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "map"))).alias("m"))
+        totals = mapped.select("row", composed(F.col("m.map")).alias("n_tokens"))
+        out = out.unionByName(rows.join(totals, "row").select(*counted))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
