@@ -96,8 +96,8 @@ def op3_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = quality.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return out.select("doc.doc_id", *[f"quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +182,29 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n
 """
 
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes: a byte's table value is the exclusive or of its bits' values, each eight shifts of the reflected polynomial."""
+    step = "a >> 8"
+    for bit in range(8):
+        value = 1 << bit
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        step = f"xor({step}, (xor(a, b) >> {bit} & 1) * {value})"
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda y: CAST('0x' || y AS BIGINT))"
+    return f"xor(list_reduce({bytes_}, lambda a, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+OP7_SQL = f"""
+WITH s AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, coalesce(text, '') AS t FROM documents),
+p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(size) OVER () AS total FROM s),
+n AS (SELECT *, CAST(least((2 * start + size) * 40 // (2 * total), 39) AS INT) AS shard FROM p)
+SELECT doc_id, size, {crc32_sql('t')} AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM n
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -190,4 +213,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op2_resolve_revisits": OP2_SQL, "op4_quality_rules": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op1_mix_sources": OP1_SQL, "op2_resolve_revisits": OP2_SQL, "op4_quality_rules": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op7_balanced_shards": OP7_SQL}

@@ -77,7 +77,7 @@ def test_quality_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(rng.choice(list("abcdef"), int(rng.integers(0, 40)))) + "\n" + "a b\n" * int(rng.integers(0, 4)), "ab"[i % 2]) for i in range(60)]
     rows += [(100 + i, "word " * 50, "bad") for i in range(40)] + [(200, " ".join(f"w{i}" for i in range(60)), "bad")]
-    out = {r.doc_id: r for r in quality.judge(frame(spark, rows)).collect()}
+    out = {r.doc.doc_id: r.quality for r in quality.judge(frame(spark, rows)).collect()}
     for i, t, _ in rows:
         assert out[i].n_repeat_words == repeated_words(t) and out[i].n_words == len(re.findall(WORD, t))
         lines = [x for x in t.split("\n") if re.search(WORD, x)]

@@ -83,7 +83,7 @@ def test_card_numbers_beside_other_numbers(spark):
     cases = [
         (f"{card} 123", rf"{new} 123"), ("4111-1111-1111-1111 12/27", r"(?!4111)\d{4}-\d{4}-\d{4}-\d{4} 12/27"), ("id 12 4111111111111111", r"id 12 (?!4111)\d{16}"),
         (f"1234 {card} 12/27", rf"1234 {new} 12/27"), (f"{card} {card} 123", rf"({new}) \1 123"), (f"{card} 123-45-6789", rf"{new} (?!123-45)\d{{3}}-\d\d-\d{{4}}"),
-        (f"{card} 02/28/2023", rf"{new} (?!02/28/2023)\d\d/\d\d/\d{{4}}"), ("4111 1111 1111 1112 123", "4111 1111 1111 1112 123"), ("12345678901234567890", r"(?!1234567890)[0-9a-f]{20}"),
+        (f"{card} 02/28/2023", rf"{new} (?!02/28/2023)\d\d/\d\d/\d{{4}}"), ("4111 1111 1111 1112 123", "4111 1111 1111 1112 123"), ("12345678901234567890", "12345678901234567890"), ("1234567890abcdef1234", r"(?!1234567890)[0-9a-f]{20}"),
     ]
     docs = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(cases)], SCHEMA)
     out = {r.doc_id: r.text for r in pseudonyms.pseudonymise(docs, "k").collect()}
