@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from aptaforge.functions.sequences import kmers, let
 
+# Four tracts with loops of 1 to 7; weights of the composite score; intercept and weights of the logistic score.
 MOTIF = "(G{2,}).{1,7}(G{2,}).{1,7}(G{2,}).{1,7}(G{2,})"
 
 
+COMPOSITE = {"cgcc": 0.2, "hunter": 0.3, "nn": 0.3, "motif": 0.2}
+LOGISTIC = {"intercept": -2.5, "g_share": 6.0, "motifs": 3.0, "longest": 2.5, "tracts": 2.0, "loops": 1.5}
+
+
 def runs(seq: Column, base: str) -> Column:
     """Lengths of maximal runs of ``base``."""
     return F.transform(F.regexp_extract_all(seq, F.lit(f"{base}+"), F.lit(0)), lambda r: F.length(r))
@@ -71,7 +76,8 @@ def rich_regions(seq: Column) -> Column:
 
 def composite(cgcc_: Column, hunter_: Column, nn: Column, top_motif: Column) -> Column:
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    parts = 0.2 * clip(cgcc_ / 10) + 0.3 * F.least(F.abs(hunter_) / 2, F.lit(1.0)) + 0.3 * clip(nn) + 0.2 * F.least(F.coalesce(top_motif, F.lit(0.0)) / 10, F.lit(1.0))
+    w = COMPOSITE
+    parts = w["cgcc"] * clip(cgcc_ / 10) + w["hunter"] * F.least(F.abs(hunter_) / 2, F.lit(1.0)) + w["nn"] * clip(nn) + w["motif"] * F.least(F.coalesce(top_motif, F.lit(0.0)) / 10, F.lit(1.0))
     return F.round(F.least(2 * parts, F.lit(2.0)), 3)
 
 
@@ -82,7 +88,7 @@ def simple_cgcc(seq: Column) -> Column:
 
 def simple_nn(seq: Column, found: Column) -> Column:
     """Logistic score of G content, motifs, longest tract, tract density and loop regularity."""
-    n, tracts = F.length(seq), runs(seq, "G")
+    n, tracts, w = F.length(seq), runs(seq, "G"), LOGISTIC
     g = F.length(seq) - F.length(F.translate(seq, "G", ""))
     loops = F.transform(F.filter(F.split(F.coalesce(F.get(found, F.lit(0))["motif"], F.lit("")), "G+"), lambda x: x != ""), lambda x: F.length(x))
 
@@ -93,8 +99,9 @@ def simple_nn(seq: Column, found: Column) -> Column:
 
     regular = let(loops, regularity)
     z = (
-        F.lit(-2.5) + g / n * 6.0 + F.least(F.size(found) / 3, F.lit(1.0)) * 3.0 + F.least(F.coalesce(F.array_max(tracts), F.lit(0)) / 5, F.lit(1.0)) * 2.5
-        + F.least(F.size(F.filter(tracts, lambda x: x >= 2)) / 4, F.lit(1.0)) * 2.0 + regular * 1.5
+        F.lit(w["intercept"]) + g / n * w["g_share"] + F.least(F.size(found) / 3, F.lit(1.0)) * w["motifs"]
+        + F.least(F.coalesce(F.array_max(tracts), F.lit(0)) / 5, F.lit(1.0)) * w["longest"]
+        + F.least(F.size(F.filter(tracts, lambda x: x >= 2)) / 4, F.lit(1.0)) * w["tracts"] + regular * w["loops"]
     )
     return F.when(n > 0, F.round(1 / (1 + F.exp(-z)), 3)).otherwise(F.lit(0.0))
 
@@ -124,6 +131,16 @@ def window_hunter(df: DataFrame, key: str, seq: str, size: int = 25) -> DataFram
     return out.select(key, F.when(F.size("_s") > 0, best / F.col("_w")).otherwise(F.lit(0.0)).alias("window_score"))
 
 
+def fallback(df: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, cgcc, g4hunter, g4nn, g4_score, num_g4_motifs), to three places: the scores of upper-case DNA that need no service. The composite takes
+    the window score as it is, up to 2, and the logistic score."""
+    out = df.select(key, F.col(seq).alias("_s"), motifs(F.col(seq)).alias("_m"))
+    out = out.select(key, "_m", simple_cgcc(F.col("_s")).alias("cgcc"), simple_nn(F.col("_s"), F.col("_m")).alias("g4nn"))
+    out = out.join(window_hunter(df, key, seq), key).withColumnRenamed("window_score", "g4hunter")
+    score = composite(F.col("cgcc"), F.col("g4hunter"), F.col("g4nn"), F.get("_m", F.lit(0))["score"])
+    return out.select(key, F.round("cgcc", 3).alias("cgcc"), F.round("g4hunter", 3).alias("g4hunter"), "g4nn", score.alias("g4_score"), F.size("_m").alias("num_g4_motifs"))
+
+
 def passes(cgcc_: Column, hunter_: Column, nn: Column) -> Column:
     return (cgcc_ > 4.5).cast("int") + (hunter_ > 0.9).cast("int") + (nn > 0.5).cast("int")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IUPAC = "^[ACGTURYKMSWBDHVN]+$"
+IUPAC = r"(?i)^[ACGTURYKMSWBDHVN]+\z"
 # Count patterns of read headers, tried in this order.
 HEADER_COUNTS = [r"-(\d+)$", r"(?i)count[=:](\d+)", r"(?i)[x_](\d+)$", r"(?i)reads?[=:](\d+)", r"(?i)size[=:](\d+)", r"\s(\d+)$"]
 
@@ -16,7 +16,7 @@ def let(value: Column, body) -> Column:
 
 
 def is_iupac(seq: Column) -> Column:
-    return F.coalesce(F.upper(seq).rlike(IUPAC), F.lit(False))
+    return F.coalesce(seq.rlike(IUPAC), F.lit(False))
 
 
 def header_count(header: Column) -> Column:

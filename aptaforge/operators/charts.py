@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from aptaforge.operators.ranges import join_on, positions
 
 # The score above which a clustering counts as strong and as moderate, by criterion; silhouettes count from the bound on.
 QUALITY = {"silhouette": (0.5, 0.25), "davies_bouldin": (-1.0, -2.0), "calinski_harabasz": (10.0, 5.0)}
@@ -24,7 +24,24 @@ def cluster_filter(clusters: DataFrame, which: str) -> DataFrame:
 
 def z_ranked(clusters: DataFrame, z: str = "z", key: str = "cluster_id") -> DataFrame:
     """``clusters`` plus z_rank by falling z; those without one come last."""
-    return clusters.withColumn("z_rank", F.row_number().over(Window.orderBy(F.col(z).desc_nulls_last(), key)))
+    return positions(clusters, [], [f"-{z}", key], "z_rank", "z-ranks")
+
+
+def remapped(clusters: DataFrame, *stats: DataFrame, z: str = "z", key: str = "cluster_id") -> DataFrame:
+    """Clusters under new ids by falling z, with what ``stats`` (keyed by the old id) say of them; those they leave out keep nulls."""
+    out = z_ranked(clusters, z, key)
+    for s in stats:
+        out = join_on(out, s, [key], "left")
+    return out.withColumnRenamed(key, "old_id").withColumnRenamed("z_rank", key)
+
+
+def best_setting(scores: DataFrame, score: str = "silhouette") -> DataFrame:
+    """(method, points, full_scan, best_k, best_score, is_best) of search scores (method, k, score): six points make a full scan; the smaller k wins ties."""
+    first = F.max(F.struct(F.col(score).alias("s"), (-F.col("k")).alias("k")))
+    out = scores.filter(F.col(score).isNotNull()).groupBy("method").agg(F.count("*").alias("points"), first.alias("b"))
+    top = out.agg(F.max(F.struct("b", F.col("method").alias("m"))).alias("top"))
+    out = out.join(F.broadcast(top))  # one row
+    return out.select("method", "points", (F.col("points") >= 6).alias("full_scan"), (-F.col("b.k")).alias("best_k"), F.col("b.s").alias("best_score"), (F.col("method") == F.col("top.m")).alias("is_best"))
 
 
 def visible(clusters: DataFrame, most: int, rank: str = "z_rank") -> DataFrame:
@@ -34,8 +51,7 @@ def visible(clusters: DataFrame, most: int, rank: str = "z_rank") -> DataFrame:
 
 def silhouette_bars(scores: DataFrame) -> DataFrame:
     """``scores`` (id, cluster, silhouette) plus bar, the place within the cluster, best first."""
-    by = Window.partitionBy("cluster").orderBy(F.col("silhouette").desc(), "id")
-    return scores.withColumn("bar", F.row_number().over(by))
+    return positions(scores, ["cluster"], ["-silhouette", "id"], "bar", "bars")
 
 
 def edge_width(similarity: Column) -> Column:
@@ -72,16 +88,15 @@ def thinned(values: Column, most: int = 200) -> Column:
 
 def strided_sample(nodes: DataFrame, per_cluster: int = 200, most: int = 2000) -> DataFrame:
     """Nodes (id, cluster) without reads: every n-th of each cluster's ids, then every n-th of what is left."""
-    w = Window.partitionBy("cluster")
-    ranked = nodes.withColumn("_i", F.row_number().over(w.orderBy("id")) - 1).withColumn("_n", F.count("*").over(w))
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("_n"))
+    ranked = positions(nodes, ["cluster"], ["id"], "_i", "strides", sizes).withColumn("_i", F.col("_i") - 1)
     step = F.when(F.col("_n") > per_cluster, F.greatest(F.lit(1), F.floor(F.col("_n") / per_cluster))).otherwise(F.lit(1))
     kept = ranked.filter((F.col("_i") % step == 0) & (F.col("_i") < per_cluster * step)).drop("_i", "_n")
     n = kept.count()
     if n <= most:
         return kept
     stride = max(1, n // most)
-    # at most per_cluster rows of each cluster are left
-    placed = kept.withColumn("_i", F.row_number().over(Window.orderBy("cluster", "id")) - 1)
+    placed = positions(kept, [], ["cluster", "id"], "_i", "strided").withColumn("_i", F.col("_i") - 1)
     return placed.filter((F.col("_i") % stride == 0) & (F.col("_i") < most * stride)).drop("_i")
 
 

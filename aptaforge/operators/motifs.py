@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,9 +15,72 @@ from aptaforge.functions.sequences import kmers
 
 def kmer_counts(df: DataFrame, seq: str = "s", k: int = 6, gap: int = 0) -> DataFrame:
     """(kmer, n, frequency): of k-mers of A, C, G, T only; frequency over all of them."""
-    grams = df.select(F.explode(kmers(F.col(seq), k, gap)).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
-    counts = grams.groupBy("kmer").agg(F.count("*").alias("n"))
-    return counts.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    if k <= 10:
+        grams = df.select(F.col(seq)).mapInArrow(gram_counter(k, gap), "kmer string, n long")
+    else:
+        grams = df.select(F.explode(kmers(F.col(seq), k, gap)).alias("kmer"), F.lit(1).alias("n")).filter(F.col("kmer").rlike("^[ACGT]+$"))
+    counts = grams.groupBy("kmer").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").alias("_all"))
+    return counts.join(F.broadcast(total)).select("kmer", "n", (F.col("n") / F.col("_all")).alias("frequency"))  # one row
+
+
+#: Places of A, C, G, T by their codes; 4 elsewhere.
+PLACE = np.full(256, 4, dtype=np.int64)
+PLACE[[ord(c) for c in "ACGT"]] = range(4)
+
+
+def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all strings of a column, joined, and where each begins and the last ends."""
+    rows = [(s or "").encode("latin-1", "replace") for s in column.to_pylist()]
+    return np.frombuffer(b"".join(rows), dtype=np.uint8), np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)]
+
+
+def gram_counter(k: int, gap: int):
+    """Counts of the k-mers of A, C, G, T of a batch: letters as digits, and one number for each place."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = (k - 1) * (gap + 1) + 1
+        for batch in batches:
+            data, ends = letters(batch.column(0))
+            n = len(data) - span + 1
+            if n <= 0:
+                continue
+            place = PLACE[data]
+            code, good = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+            for j in range(k):
+                at = place[j * (gap + 1) : j * (gap + 1) + n]
+                code = code * 4 + at
+                good &= at < 4
+            for e in ends[1:-1]:  # places whose k-mer would reach into the next string
+                good[max(0, e - span + 1) : e] = False
+            values, sizes = np.unique(code[good], return_counts=True)
+            digits = values[:, None] // 4 ** np.arange(k - 1, -1, -1) % 4
+            names = np.frombuffer(b"ACGT", dtype="S1")[digits].view(f"S{k}").ravel().astype(str)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["kmer", "n"])
+
+    return count
+
+
+def place_counter(width: int | None):
+    """(pos, base, n) of a batch: how often a letter is at a place, of the first ``width`` places."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = letters(batch.column(0))
+            if not len(data):
+                continue
+            pos = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+            key = pos * 256 + data
+            values, sizes = np.unique(key if width is None else key[pos < width], return_counts=True)
+            bases = [chr(v) for v in (values % 256).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(values // 256, pa.int32()), pa.array(bases, pa.string()), pa.array(sizes, pa.int64())], names=["pos", "base", "n"])
+
+    return count
+
+
+def place_counts(df: DataFrame, seq: str, width: int | None = None) -> DataFrame:
+    rows = df.select(F.col(seq) if width is None else F.substring(F.col(seq), 1, width).alias(seq))
+    return rows.mapInArrow(place_counter(width), "pos int, base string, n long").groupBy("pos", "base").agg(F.sum("n").alias("n"))
 
 
 def kmer_frequencies(df: DataFrame, key: str, seq: str = "s", k: int = 3, gap: int = 0) -> DataFrame:
@@ -41,8 +108,7 @@ def position_frequencies(df: DataFrame, seq: str = "s", longest: int = 100) -> D
     """(pos, base, n, frequency) for the positions that all sequences have, up to ``longest``; frequency over all sequences."""
     n, shortest = df.agg(F.count("*"), F.min(F.length(seq))).first()
     width = min(shortest or 0, longest)
-    letters = df.select(F.posexplode(F.filter(F.split(F.substring(F.col(seq), 1, width), ""), lambda c: c != "")).alias("pos", "base"))
-    counts = letters.filter(F.col("base").isin(*"ACGT")).groupBy("pos", "base").agg(F.count("*").alias("n"))
+    counts = place_counts(df, seq, width).filter(F.col("base").isin(*"ACGT"))
     return counts.withColumn("frequency", F.col("n") / F.lit(n or 1))
 
 
@@ -70,7 +136,6 @@ def primer_lengths(df: DataFrame, order: str, seq: str = "s", sample: int = 200,
 
 def variable_positions(df: DataFrame, seq: str = "s", share: float = 0.8) -> DataFrame:
     """(pos, top_share) of positions whose commonest letter has less than ``share`` of all sequences."""
-    letters = df.select(F.posexplode(F.filter(F.split(seq, ""), lambda c: c != "")).alias("pos", "base"))
     n = df.count()
-    top = letters.groupBy("pos", "base").agg(F.count("*").alias("n")).groupBy("pos").agg((F.max("n") / F.lit(n or 1)).alias("top_share"))
+    top = place_counts(df, seq).groupBy("pos").agg((F.max("n") / F.lit(n or 1)).alias("top_share"))
     return top.filter(F.col("top_share") < share)

@@ -6,6 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from aptaforge.operators.ranges import join_on, positions, prefix_sums
+
+
+def with_percent(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``reads`` plus percent_read, the share of all reads of each ``by``. Totals join back (one row a group, which adaptive execution
+    broadcasts if they are small, or splits the hot groups), so that no round is in one task."""
+    by = by or ["round_number"]
+    totals = reads.groupBy(*by).agg(F.sum("read_count").alias("_total"))
+    return join_on(reads, totals, by).withColumn("percent_read", F.col("read_count") / F.col("_total") * 100).drop("_total")
+
+
+def ranked(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``reads`` plus rank within each ``by``, most read first, ties by sequence."""
+    return positions(reads, by or ["round_number"], ["-read_count", "sequence"], "rank", "round-ranks")
+
 
 def round_numbers(rounds: DataFrame) -> list[int]:
     return [r[0] for r in rounds.select("round_number").distinct().orderBy("round_number").collect()]
@@ -61,8 +76,8 @@ def cluster_stats(members: DataFrame) -> DataFrame:
         F.count("*").alias("size"), F.round(F.coalesce(F.avg(finite), F.lit(0.0)), 2).alias("avg_fold"),
         F.round(F.coalesce(F.max(finite), F.lit(0.0)), 2).alias("max_fold"), F.max("is_new").alias("has_new"), F.round(F.avg("max_percent_read"), 4).alias("avg_percent"),
     )
-    by = Window.orderBy(F.col("size").desc(), F.col("avg_fold").desc(), "cluster_id")
-    return out.withColumn("cluster_rank", F.row_number().over(by)).withColumn("max_is_new", F.col("has_new") & (F.col("max_fold") == 0)).drop("has_new")
+    out = positions(out, [], ["-size", "-avg_fold", "cluster_id"], "cluster_rank", "cluster-ranks")
+    return out.withColumn("max_is_new", F.col("has_new") & (F.col("max_fold") == 0)).drop("has_new")
 
 
 def abundance_z(members: DataFrame, cluster: str = "cluster_id", reads: str = "read_count") -> DataFrame:
@@ -95,24 +110,57 @@ def abundance_split(df: DataFrame, threshold: float, reads: str = "read_count")
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """min, q1, median, q3, max, iqr; quartiles are the values at floor(n / 4) and floor(3 n / 4), counted from 0.
 
-    Ranks come from a window per group; no list of a group's values is built.
+    Equal values become one row with their number before anything is ordered, and running numbers over ranges of values tell which value is at a place: no
+    task holds a group, and no list of its values is built.
     """
-    w = Window.partitionBy(group)
-    ranked = df.filter(F.col(value).isNotNull()).select(group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda k: F.max(F.when(F.col("i") == k, F.col(value)))
-    out = ranked.groupBy(group).agg(
-        F.min(value).alias("min"), at(F.floor(F.col("n") * 0.25)).alias("q1"),
-        ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"), at(F.floor(F.col("n") * 0.75)).alias("q3"), F.max(value).alias("max"),
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(group), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    totals = counts.groupBy(group).agg(F.sum("_c").alias("_n"))
+    placed = prefix_sums(counts, [group], ["_v"], {"_i": F.col("_c")}, "box", totals)
+
+    def at(k: Column) -> Column:
+        return F.max(F.when((F.col("_i") <= k) & (k < F.col("_i") + F.col("_c")), F.col("_v")))
+
+    n = F.col("_n")
+    out = placed.groupBy(group).agg(
+        F.min("_v").alias("min"), at(F.floor(n * 0.25)).alias("q1"), ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median"),
+        at(F.floor(n * 0.75)).alias("q3"), F.max("_v").alias("max"),
     )
     return out.withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def dedup_points(points: DataFrame, sample: int = 5) -> DataFrame:
-    """Points equal to 6 places within a cluster become one, with their number and the first ``sample`` sequences."""
+    """Points equal to 6 places within a cluster become one, with their number and the first ``sample`` sequences.
+
+    Equal sequences are counted first; of each point, a task sends on no more than ``sample`` of them.
+    """
+    place = ["x", "y", "cluster_id"]
     keyed = points.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "cluster_id", "sequence")
-    by = Window.partitionBy("x", "y", "cluster_id").orderBy("sequence")
-    ranked = keyed.withColumn("i", F.row_number().over(by))
-    return ranked.groupBy("x", "y", "cluster_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("i") <= sample, F.col("sequence")))).alias("sample"))
+    counted = keyed.groupBy(*place, "sequence").agg(F.count("*").alias("_c"))
+    sizes = counted.groupBy(*place).agg(F.sum("_c").alias("n"))
+    firsts = counted.withColumn("_i", F.row_number().over(Window.partitionBy(*place).orderBy("sequence"))).filter(F.col("_i") <= sample)
+    lists = firsts.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("sequence", "_c"))).alias("_l"))
+    repeated = F.flatten(F.transform("_l", lambda s: F.array_repeat(s["sequence"], F.least(s["_c"], F.lit(sample)).cast("int"))))
+    return join_on(sizes, lists, place).select(*place, "n", F.slice(repeated, 1, sample).alias("sample"))
+
+
+def counters(rounds: DataFrame, enriched: DataFrame, screened: DataFrame | None = None, folded: DataFrame | None = None, tested: DataFrame | None = None) -> DataFrame:
+    """One row of totals: rounds, total_reads, unique_rows (of all rounds), enriched (finite folds of 2 and more), n_new, and where given high, medium and low
+    risk of ``screened`` (g4_score), gquads of ``folded`` (has_gquad) and significant clusters of ``tested`` (significant)."""
+    parts = [
+        rounds.agg(F.countDistinct("round_number").alias("rounds"), F.sum("read_count").alias("total_reads"), F.count("*").alias("unique_rows")),
+        enriched.agg(F.count_if(F.coalesce(F.col("fold") >= 2, F.lit(False)) & ~F.col("is_new")).alias("enriched"), F.count_if("is_new").alias("n_new")),
+    ]
+    if screened is not None:
+        score = F.col("g4_score")
+        parts.append(screened.agg(F.count_if(score >= 1).alias("high"), F.count_if((score >= 0.5) & (score < 1)).alias("medium"), F.count_if(score < 0.5).alias("low")))
+    if folded is not None:
+        parts.append(folded.agg(F.count_if("has_gquad").alias("gquads")))
+    if tested is not None:
+        parts.append(tested.agg(F.count_if("significant").alias("significant")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(F.broadcast(p))  # one row each
+    return out
 
 
 def node_radius(count: Column, most: Column) -> Column:
@@ -128,5 +176,13 @@ def heat(cgcc: Column, hunter: Column, nn: Column, mfe: Column) -> list[Column]:
     return [F.least(cgcc / 20, one), F.least(F.abs(hunter) / 2, one), F.least(nn, one), F.least(-mfe / 25, one)]
 
 
+def sort_table(df: DataFrame, column: str, falling: bool = True, infinite: str | None = None, ties: str = "sequence") -> DataFrame:
+    """``df`` in the order of one column: none as below all numbers, and where the flag ``infinite`` is set as 1e15."""
+    key = F.coalesce(F.col(column).cast("double"), F.lit(float("-inf")))
+    if infinite:
+        key = F.when(F.col(infinite), 1e15).otherwise(key)
+    return df.orderBy(key.desc() if falling else key.asc(), ties)
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:
     return df.orderBy(*order).offset(number * size).limit(size)

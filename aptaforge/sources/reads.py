@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from aptaforge.functions.sequences import header_count, is_iupac, leading_int
+from aptaforge.operators.ranges import positions
 
 
 def detect_format(lines: DataFrame) -> str:
@@ -28,10 +28,10 @@ def detect_format(lines: DataFrame) -> str:
     return "fasta" if row["header"] else "lines"
 
 
-def collapse(reads: DataFrame) -> DataFrame:
-    """Sum of counts of each valid sequence, in upper case."""
-    seq = F.upper(F.col("sequence"))
-    return reads.select(seq.alias("sequence"), "read_count").filter(is_iupac(F.col("sequence"))).groupBy("sequence").agg(F.sum("read_count").alias("read_count"))
+def collapse(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Sum of counts of each valid sequence (of each ``by``), in upper case."""
+    rows = reads.filter(is_iupac(F.col("sequence"))).select(*(by or []), F.upper(F.col("sequence")).alias("sequence"), "read_count")
+    return rows.groupBy(*(by or []), "sequence").agg(F.sum("read_count").alias("read_count"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -44,12 +44,16 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(header, sequence, read_count 1) of records of four lines. A file is read whole, as records have no separator
-    of their own that quality lines could not hold."""
-    whole = spark.read.text(path, wholetext=True).select(F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"), lambda x: x != "").alias("l"))
-    at = F.when(F.size("l") >= 4, F.sequence(F.lit(0), F.size("l") - 4, F.lit(4))).otherwise(F.array().cast("array<int>"))
-    rows = whole.select("l", F.explode(at).alias("i")).filter(F.col("l")[F.col("i")].startswith("@"))
-    return rows.select(F.expr("substr(l[i], 2)").alias("header"), F.upper(F.trim(F.expr("l[i + 1]"))).alias("sequence"), F.lit(1).cast("long").alias("read_count"))
+    """(header, sequence, read_count 1) of records of four lines, whose sequence is not empty.
+
+    Files split where a line begins with @, which is a record or a quality line: sequences and third lines never begin so. A
+    part of three lines or more whose third begins with + is a record, with or without its quality line; a part of
+    one line is a quality line. So files of any size are read by many tasks, and no part holds more than a record.
+    """
+    part = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^@", "")
+    rows = spark.read.option("lineSep", "\n@").text(path).select(F.split(part, "\n").alias("l")).filter((F.size("l") >= 3) & F.get("l", F.lit(2)).startswith("+"))
+    out = rows.select(F.col("l")[0].alias("header"), F.upper(F.trim(F.col("l")[1])).alias("sequence"), F.lit(1).cast("long").alias("read_count"))
+    return out.filter("sequence != ''")
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -73,25 +77,32 @@ def read_reads(spark: SparkSession, path: str, form: str | None = None) -> DataF
     return out
 
 
-def inflate(spark: SparkSession, path: str, out_dir: str) -> str:
-    """Files at ``path`` as text at ``out_dir``, gunzipped where the first bytes say gzip whatever the name."""
+#: Bytes of one file that is looked at whole.
+UPLOAD = 200 << 20
+
+
+def inflate(spark: SparkSession, path: str, out_dir: str, most: int = UPLOAD) -> str:
+    """Files at ``path`` as text at ``out_dir``, gunzipped where the first bytes say gzip whatever the name. ValueError if one has over ``most`` bytes;
+    larger ones are read where they lie, by their suffix."""
+    files = spark.read.format("binaryFile").load(path)
+    if files.filter(F.col("length") > most).limit(1).count():
+        raise ValueError(f"a file of over {most} bytes in {path}")
 
     @F.pandas_udf("string")
     def text(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in contents:
             yield pd.Series([(zlib.decompress(bytes(b), 47) if bytes(b[:2]) == b"\x1f\x8b" else bytes(b)).decode("utf-8", "replace") for b in batch])
 
-    spark.read.format("binaryFile").load(path).select(text("content").alias("value")).write.mode("overwrite").text(out_dir)
+    files.select(text("content").alias("value")).write.mode("overwrite").text(out_dir)
     return out_dir
 
 
 def percent_top(reads: DataFrame, keep: int = 10_000, by: list[str] | None = None) -> DataFrame:
-    """Percent of all reads (of each ``by``), then the ``keep`` most read sequences of each."""
+    """Percent of all reads (of each ``by``), then the ``keep`` most read sequences of each. Ranks come from ranges, so no task holds a group."""
     by = by or []
-    order = [F.col("read_count").desc(), F.col("sequence").asc()]
     if not by:
         total = reads.agg(F.sum("read_count")).first()[0] or 1
-        return reads.withColumn("percent_read", F.col("read_count") / F.lit(total) * 100).orderBy(*order).limit(keep)
+        return reads.withColumn("percent_read", F.col("read_count") / F.lit(total) * 100).orderBy(F.col("read_count").desc(), "sequence").limit(keep)
     totals = reads.groupBy(*by).agg(F.sum("read_count").alias("_total"))
-    out = reads.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= keep)
-    return out.join(totals, by).withColumn("percent_read", F.col("read_count") / F.col("_total") * 100).drop("_rank", "_total")
+    out = positions(reads, by, ["-read_count", "sequence"], "_rank", "percent-top", totals).filter(F.col("_rank") <= keep)
+    return out.withColumn("percent_read", F.col("read_count") / F.col("_total") * 100).drop("_rank", "_total")

@@ -16,12 +16,10 @@ def window_counts(events: DataFrame, size: str = "1 day", late: str = "2 days",
 
 
 def follow_reads(reads: DataFrame, store: Store, analysis_id: str, checkpoint: str) -> StreamingQuery:
-    """Store each micro-batch of a stream (round_number, sequence, read_count) by replacing the rounds that it holds."""
+    """Add each micro-batch of a stream (round_number, sequence, read_count) to the stored rounds that it holds. A batch that is run again after a
+    failure replaces itself, so reads count once."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        for (n,) in batch.select("round_number").distinct().collect():
-            store.put_round(analysis_id, n, collapse(batch.filter(F.col("round_number") == n)))
-        batch.unpersist()
+    def put(batch: DataFrame, number: int) -> None:
+        store.add_reads(analysis_id, collapse(batch, ["round_number"]), number)
 
     return reads.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
