@@ -46,42 +46,41 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     The as-of join range-partitions by (URL, date), looks back within each slice, and carries the
     last response of a URL over from the slices before, so a URL with any share of the rows is
     never in one task. Null URLs form no URL: their revisits are ``missing``. Rows with a null date come last in
-    their URL. Repeated rows each get a result. Extra columns pass through.
+    their URL. A record of any other type, or of none, stands for itself. Null headers are none. Repeated rows each get a result. Extra columns pass
+    through whatever their names, but for those that are added here, which are replaced. An empty table gives no rows.
     """
     extra = [c for c in records.columns if c not in ("canonical_url", "resolved_id", "resolved_digest", "verdict", "merged_headers")]
-    rows = records.select(*extra).withColumn("canonical_url", canonical_url())
-    order = ["canonical_url", "warc_date", "record_id"]
-    rows = ranged(rows, order, "revisit-ranged")
+    order = ["canonical_url", "doc.warc_date", "doc.record_id"]
+    rows = ranged(records.select(F.struct(*extra).alias("doc"), canonical_url().alias("canonical_url")), order, "revisit-ranged")
     by = [F.col(c).asc_nulls_last() for c in order[1:]]
-    full = (F.col("record_type") == "response") & (F.col("status") == 200)
-    response = F.struct("record_id", "etag", "last_modified", "payload_digest", "headers")
-    mine = F.when(full, response)
+    own = {c: F.col(f"doc.{c}") for c in ("record_id", "warc_date", "record_type", "status", "etag", "last_modified", "payload_digest", "headers")}
+    full = (own["record_type"] == "response") & (own["status"] == 200)
+    response = F.struct(*[own[c].alias(c) for c in ("record_id", "etag", "last_modified", "payload_digest", "headers")])
     slice_ = Window.partitionBy("canonical_url", "_part").orderBy(*by)
-    local = rows.withColumn("_here", F.last(mine, ignorenulls=True).over(slice_.rowsBetween(Window.unboundedPreceding, -1)))
-    last = rows.filter(full).groupBy("canonical_url", "_part").agg(F.max_by(response, F.struct(F.col("warc_date").isNull(), "warc_date", "record_id")).alias("_last"))
+    local = rows.withColumn("_here", F.last(F.when(full, response), ignorenulls=True).over(slice_.rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.struct(own["warc_date"].isNull().alias("n"), own["warc_date"].alias("d"), own["record_id"].isNull().alias("m"), own["record_id"].alias("i"))
+    last = rows.filter(full).groupBy("canonical_url", "_part").agg(F.max_by(response, place).alias("_last"))
     slices = join_on(rows.select("canonical_url", "_part").distinct(), last, ["canonical_url", "_part"], "left")
     before = Window.partitionBy("canonical_url").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("canonical_url", "_part", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
     out = join_on(local, slices, ["canonical_url", "_part"])
     out = out.withColumn("_r", F.when(F.col("canonical_url").isNotNull(), F.coalesce("_here", "_carried")))
     r = F.col("_r")
-    checks = F.coalesce(
-        strong(F.col("etag")) == strong(r["etag"]), F.col("last_modified") == r["last_modified"], F.col("payload_digest") == r["payload_digest"]
-    )
-    is_full = F.col("record_type") != "revisit"
+    checks = F.coalesce(strong(own["etag"]) == strong(r["etag"]), own["last_modified"] == r["last_modified"], own["payload_digest"] == r["payload_digest"])
+    is_full = ~own["record_type"].eqNullSafe(F.lit("revisit"))
     verdict = (
         F.when(is_full, "full").when(r.isNull(), "missing").when(checks.isNull(), "unverified").when(checks, "match").otherwise("mismatch")
     )
     empty = F.create_map().cast("map<string,string>")
-    own, stored = F.coalesce("headers", empty), F.coalesce(r["headers"], empty)
-    changes = F.map_filter(own, lambda k, _: ~k.isin(FIXED_HEADERS))
+    mine, stored = F.coalesce(own["headers"], empty), F.coalesce(r["headers"], empty)
+    changes = F.map_filter(mine, lambda k, _: ~k.isin(FIXED_HEADERS))
     merged = F.map_concat(F.map_filter(stored, lambda k, _: ~F.array_contains(F.map_keys(changes), k)), changes)
-    resolved = F.col("verdict").isin("match", "unverified")
-    return out.withColumn("verdict", verdict).select(
-        *extra,
+    resolved = F.col("_verdict").isin("match", "unverified")
+    found = F.struct(
         "canonical_url",
-        F.when(is_full, F.col("record_id")).when(resolved, r["record_id"]).alias("resolved_id"),
-        F.when(is_full, F.col("payload_digest")).when(resolved, r["payload_digest"]).alias("resolved_digest"),
-        "verdict",
-        F.when(is_full, own).when(resolved, merged).alias("merged_headers"),
+        F.when(is_full, own["record_id"]).when(resolved, r["record_id"]).alias("resolved_id"),
+        F.when(is_full, own["payload_digest"]).when(resolved, r["payload_digest"]).alias("resolved_digest"),
+        F.col("_verdict").alias("verdict"),
+        F.when(is_full, mine).when(resolved, merged).alias("merged_headers"),
     )
+    return out.withColumn("_verdict", verdict).select("doc", found.alias("found")).select("doc.*", "found.*")

@@ -16,7 +16,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from aptaforge.llm import exact_dedup, language, mixing, packing, pseudonyms, quality, sharding, simhash, token_counts
+from aptaforge.llm import exact_dedup, language, mixing, packing, pseudonyms, quality, revisits, sharding, simhash, token_counts
 
 REPO, SMALL = Path(__file__).resolve().parents[2], "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, source string"
@@ -325,3 +325,47 @@ for name in ("op5_exact_dedup", "op6_pack_sequences", "op8_count_tokens", "op9_s
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+# --- revisits ---
+
+
+def test_odd_records(spark):
+    schema = "record_id long, url string, warc_date long, record_type string, status int, etag string, last_modified string, payload_digest string, headers map<string,string>, verdict string, _part int, _r string, doc int"
+    own = ("mine", 7, "r", 3)
+    rows = [
+        (1, "http://a.com/", 10, "response", 200, '"e"', None, "d", None, *own), (1, "http://a.com/", 10, "response", 200, '"e"', None, "d", None, *own),
+        (2, "http://a.com", 20, "revisit", 304, '"e"', None, None, None, *own), (2, "http://a.com", 20, "revisit", 304, '"e"', None, None, None, *own),
+        (3, "http://a.com", None, "revisit", 304, None, None, "d", None, *own), (None, "http://a.com", 15, None, None, None, None, None, None, *own), (4, "", 5, "revisit", 304, None, None, None, None, *own),
+        (5, None, 50, "revisit", 304, '"e"', None, None, None, *own), (6, "http://b.com/" + "x" * 100_000, 1, "response", 200, None, None, "long", {"a": "b"}, *own),
+        (7, "https://www.b.com/" + "x" * 100_000 + "#y", 2, "revisit", 304, None, None, "long", {"a": "c"}, *own),
+    ]
+    out = revisits.resolve_revisits(spark.createDataFrame(rows, schema))
+    assert out.columns == [c.split()[0] for c in schema.split(", ") if not c.startswith("verdict")] + ["canonical_url", "resolved_id", "resolved_digest", "verdict", "merged_headers"]
+    got = Counter((r.record_id, r.verdict, r.resolved_id, r.resolved_digest) for r in out.collect())
+    assert got == Counter({(1, "full", 1, "d"): 2, (2, "match", 1, "d"): 2, (3, "match", 1, "d"): 1, (None, "full", None, None): 1, (4, "missing", None, None): 1, (5, "missing", None, None): 1, (6, "full", 6, "long"): 1, (7, "match", 6, "long"): 1})
+    assert all((r._part, r._r, r.doc) == own[1:] for r in out.collect()) and out.filter("record_id = 7").first().merged_headers == {"a": "c"}
+    assert revisits.resolve_revisits(out.limit(0)).count() == 0
+
+
+# --- odd rows, by value ---
+
+
+def test_odd_texts_have_defined_results(spark):
+    long = "long text " * 200_000
+    rows = [(1, None), (2, ""), (3, " \t\n"), (None, "one two"), (None, "one two"), (4, long)]
+    docs = spark.createDataFrame([(i, t, None, "pii", 1.5, "tok", True) for i, t in rows], "doc_id long, text string, lang string, pii string, n_tokens double, fp string, held_out boolean")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    counted = Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, path).collect())
+    assert counted == Counter((i, len(t or ""), len(sp.encode(t or ""))) for i, t in rows)
+    private = pseudonyms.pseudonymise(docs, "k")
+    assert Counter((r.doc_id, r.text, len(r.pii), r.n_tokens) for r in private.collect()) == Counter((i, t, 0, 1.5) for i, t in rows)
+    told = Counter((r.doc_id, r.lang_pred, r.score) for r in language.predict_languages(docs).collect())
+    assert told == Counter((i, "und", 0.0) for i, _ in rows)  # nothing could be learnt
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(i for i, _ in rows) and sum(r.length for r in packed if r.doc_id == 4) == packed[[r.doc_id for r in packed].index(4)].doc_tokens
+    prints = Counter((r.doc_id, r.fp) for r in simhash.near_groups(docs).collect())
+    assert prints == Counter((i, simhash.signed(simhash.fingerprint(t))) for i, t in rows)
+    empty = docs.limit(0)
+    assert token_counts.count_tokens(empty, path).count() == pseudonyms.pseudonymise(empty, "k").count() == packing.pack(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
