@@ -63,18 +63,28 @@ def ranged(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return materialize(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()), name)
 
 
+#: Rows that one task may order.
+FEW = 100_000
+
+
 def prefix_sums(
-    df: DataFrame, groups: list[str], order: list[str], sums: dict[str, Column], name: str, per_group: DataFrame | None = None
+    df: DataFrame, groups: list[str], order: list[str], sums: dict[str, Column], name: str, per_group: DataFrame | None = None, few: int = FEW, written: bool = False
 ) -> DataFrame:
     """Exclusive running sums within ``groups`` in ``order``, over any number of rows in a group.
 
-    Rows are range-partitioned by (groups, order). Each slice (group within a partition) is
+    ``df`` is written first (unless ``written``), as it is read more than once. Up to ``few`` rows in all are ordered by plain windows. More
+    are range-partitioned by (groups, order). Each slice (group within a partition) is
     totalled, the totals are prefix-summed (at most one row for each partition and group), and
     every row adds its position within its slice. No task holds more than a slice. ``per_group``,
     unique on ``groups``, joins to the slices, so that its columns reach the rows without a
     join on a hot group.
     """
-    cut = ranged(df, [*groups, *order], name)
+    df = df if written else materialize(df, name)
+    if few and df.limit(few + 1).count() <= few:
+        whole = Window.partitionBy(*groups).orderBy(*in_order(order)).rowsBetween(Window.unboundedPreceding, -1)
+        out = df.select("*", *[F.coalesce(F.sum(v).over(whole), F.lit(0)).alias(k) for k, v in sums.items()])
+        return out if per_group is None else join_on(out, per_group, groups)
+    cut = ranged(df, [*groups, *order], f"{name}-ranged")
     slices = cut.groupBy(*groups, "_part").agg(*[F.sum(v).alias(f"_t_{k}") for k, v in sums.items()])
     if per_group is not None:
         slices = join_on(slices, per_group, groups)
@@ -90,7 +100,9 @@ def prefix_sums(
     return out.drop("_part", *[f"_l_{k}" for k in sums], *[f"_b_{k}" for k in sums])
 
 
-def positions(df: DataFrame, groups: list[str], order: list[str], into: str = "rank", name: str = "positions", per_group: DataFrame | None = None) -> DataFrame:
+def positions(
+    df: DataFrame, groups: list[str], order: list[str], into: str = "rank", name: str = "positions", per_group: DataFrame | None = None, few: int = FEW, written: bool = False
+) -> DataFrame:
     """``df`` plus ``into``, the place from 1 of each row within ``groups`` in ``order``: a row number without a window over a whole group."""
-    out = prefix_sums(df, groups, order, {into: F.lit(1)}, name, per_group)
+    out = prefix_sums(df, groups, order, {into: F.lit(1)}, name, per_group, few, written)
     return out.withColumn(into, (F.col(into) + 1).cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aptaforge.operators.ranges import join_on, positions, prefix_sums
+from aptaforge.operators.ranges import join_on, materialize, positions, prefix_sums
 
 
 def with_percent(reads: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -114,8 +114,9 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     task holds a group, and no list of its values is built.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(group), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    counts = materialize(counts, "box-values")
     totals = counts.groupBy(group).agg(F.sum("_c").alias("_n"))
-    placed = prefix_sums(counts, [group], ["_v"], {"_i": F.col("_c")}, "box", totals)
+    placed = prefix_sums(counts, [group], ["_v"], {"_i": F.col("_c")}, "box", totals, written=True)
 
     def at(k: Column) -> Column:
         return F.max(F.when((F.col("_i") <= k) & (k < F.col("_i") + F.col("_c")), F.col("_v")))
