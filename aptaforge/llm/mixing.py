@@ -34,7 +34,7 @@ def source_targets(sized: DataFrame, weights: Sequence[int], share: float, cap:
     sources, so their number is not bounded by a task; three totals reach the driver.
     """
     src = materialize(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    src = positions(src, [], ["source"], "_rank", "mix-ranked")
+    src = positions(src, [], ["source"], "_rank", "mix-ranked", written=True)
     w = F.array(*[F.lit(x) for x in weights])
     src = src.withColumn("weight", F.element_at(w, (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int")))
     src = src.withColumn("_cap", F.col("source_size") * F.lit(cap)).withColumn("_ratio", F.col("_cap") / F.col("weight"))
@@ -63,7 +63,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     """
     sized = materialize(docs.select("source", *[c.alias(k) for k, c in keys(seed).items()]), "mix-sized")
     per_source = source_targets(sized, weights, share, cap)
-    out = prefix_sums(sized, ["source"], ["key", "doc_id", "size", "crc"], {"before": F.col("size")}, "mix-ranged", per_source)
+    out = prefix_sums(sized, ["source"], ["key", "doc_id", "size", "crc"], {"before": F.col("size")}, "mix", per_source, few=0, written=True)
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     out = out.withColumn("epochs", epochs.cast("long"))
@@ -105,7 +105,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: fl
     place = F.when(at, F.lit(1))
     if repeats:
         here = rows.filter(at).withColumn("_order", F.xxhash64(F.to_json("doc")))
-        rows = rows.filter(~at).withColumn("_at", F.lit(None).cast("long")).unionByName(positions(here, ["source"], ["_order"], "_at", "mix-repeats").drop("_order"))
+        rows = rows.filter(~at).withColumn("_at", F.lit(None).cast("long")).unionByName(positions(here, ["source"], ["_order"], "_at", "mix-repeats", few=0).drop("_order"))
         place = F.col("_at")
     n = F.col("_key.size")
     whole = F.when(place.isNotNull(), place <= F.col("_whole")).otherwise((n > 0) & F.col("_last").isNotNull() & (F.col("_key") < F.col("_last")))

@@ -25,7 +25,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Dat
         docs.select("doc_id", (F.octet_length(body) + F.lit(overhead)).cast("long").alias("size"), F.crc32(body).alias("text_crc32")), "shard-sized"
     )
     total = sized.agg(F.sum("size")).first()[0] or 1
-    rows = prefix_sums(sized, [], ["doc_id", "text_crc32", "size"], {"_start": F.col("size"), "_row": F.lit(1)}, "shard-ranged")
+    rows = prefix_sums(sized, [], ["doc_id", "text_crc32", "size"], {"_start": F.col("size"), "_row": F.lit(1)}, "shard", few=0, written=True)
     # twice the middle byte, times shards, over twice the total
     shard = F.expr(f"least(cast((2 * _start + size) * cast({shards} as decimal(20,0)) div cast({2 * total} as decimal(20,0)) as bigint), {shards - 1})")
     rows = rows.withColumn("shard", shard.cast("int"))
