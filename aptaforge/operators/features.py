@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aptaforge.functions.sequences import trim
 from aptaforge.operators import motifs
+from aptaforge.operators.ranges import materialize
 
 MODES = ("kmer", "hybrid", "structural")
 
@@ -54,7 +55,7 @@ def prepare(
     columns = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in scores or []])
     if mode == "structural" and scores:
         out = df.select(key, columns.alias("v"))
-        return scaled(out, key) if standardise else out
+        return scaled(materialize(out, "features"), key) if standardise else out
     a, b = primers(df, key, seq, forward, reverse)
     cut = df.select(key, trim(F.col(seq), F.lit(a), F.lit(b)).alias("_cut"))
     k = motifs.feature_k(cut, "_cut")
@@ -65,4 +66,4 @@ def prepare(
         if scores:
             extra = scaled(df.select(key, columns.alias("v")), key, least=0.0).select(key, F.transform("v", lambda x: x * 0.3).alias("_x"))
             out = out.join(extra, key).select(key, F.concat("v", "_x").alias("v"))
-    return scaled(out, key) if standardise else out
+    return scaled(materialize(out, "features"), key) if standardise else out
