@@ -16,8 +16,8 @@ LOGISTIC = {"intercept": -2.5, "g_share": 6.0, "motifs": 3.0, "longest": 2.5, "t
 
 
 def runs(seq: Column, base: str) -> Column:
-    """Lengths of maximal runs of ``base``."""
-    return F.transform(F.regexp_extract_all(seq, F.lit(f"{base}+"), F.lit(0)), lambda r: F.length(r))
+    """Lengths of maximal runs of ``base``; long, as scores grow with their cube."""
+    return F.transform(F.regexp_extract_all(seq, F.lit(f"{base}+"), F.lit(0)), lambda r: F.length(r).cast("long"))
 
 
 def total(values: Column, each=lambda x: x) -> Column:
@@ -33,7 +33,7 @@ def cgcc(seq: Column) -> Column:
 
 def hunter(seq: Column) -> Column:
     """Mean over letters of min(run, 4), negative for C."""
-    score = lambda b: total(runs(seq, b), lambda n: F.least(n, F.lit(4)) * n)
+    score = lambda b: total(runs(seq, b), lambda n: F.least(n, F.lit(4).cast("long")) * n)
     return F.when(F.length(seq) > 0, (score("G") - score("C")) / F.length(seq)).otherwise(F.lit(0.0))
 
 

@@ -74,6 +74,14 @@ def test_scores(spark):
     assert df.select(F.size(sq.kmers(F.col("s"), 4))).collect()[1][0] == 0
 
 
+def test_scores_of_long_runs(spark):
+    score = lambda n: 10 * n * (n + 1) * (n + 2) // 6
+    df = spark.createDataFrame([("G" * 700 + "A" + "C" * 3,), ("C" * 40_000 + "T" + "G" * 9_000,)], "s string")
+    rows = df.select(g4.cgcc(F.col("s")).alias("c"), g4.hunter(F.col("s")).alias("h")).collect()
+    assert [r.c for r in rows] == [score(700) / score(3), score(9_000) / score(40_000)]
+    assert [r.h for r in rows] == [(2800 - 9) / 704, (36_000 - 160_000) / 49_001]
+
+
 def test_folding():
     out = folding.fold("GGGGAAAACCCC", gquad=False)
     assert out["dot_bracket"] == "((((....))))" and out["mfe"] == -1.48  # three stacks of -2.36, a loop of 5.60
