@@ -56,9 +56,9 @@ def screen(df: DataFrame, seq: str = "sequence", network: Network | None = None)
     if network is not None:
         nn = network_udf(network)("_s")
     out = out.withColumns({
-        "cgcc": F.round(zero(g4.cgcc(F.col("_s"))), 4), "g4hunter": F.round(zero(g4.hunter(F.col("_s"))), 4), "g4nn": nn,
+        "cgcc": g4.rounded(zero(g4.cgcc(F.col("_s"))), 4), "g4hunter": g4.rounded(zero(g4.hunter(F.col("_s"))), 4), "g4nn": nn,
         "num_g4_motifs": F.size("g4_motifs"), "g_rich_regions": g4.rich_regions(F.col("_s")),
     })
-    out = out.withColumn("g4nn", F.round(zero(F.col("g4nn")), 4))
+    out = out.withColumn("g4nn", g4.rounded(zero(F.col("g4nn")), 4))
     top = F.get("g4_motifs", F.lit(0))["score"]
     return out.withColumn("g4_score", g4.composite(F.col("cgcc"), F.col("g4hunter"), F.col("g4nn"), top)).drop("_s")

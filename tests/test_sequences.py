@@ -82,6 +82,12 @@ def test_scores_of_long_runs(spark):
     assert [r.h for r in rows] == [(2800 - 9) / 704, (36_000 - 160_000) / 49_001]
 
 
+def test_scores_round_their_binary_value(spark):
+    df = spark.createDataFrame([(0.07125,)], "x double")
+    assert [r[0] for r in df.select(g4.rounded(F.col("x"), 4)).union(df.select(g4.rounded(-F.col("x"), 4))).collect()] == [0.0712, -0.0712]
+    assert [r[0] for r in df.select(g4.rounded(F.lit(0.125), 2)).union(df.select(g4.rounded(F.lit(-0.125), 2))).collect()] == [0.13, -0.13]
+
+
 def test_folding():
     out = folding.fold("GGGGAAAACCCC", gquad=False)
     assert out["dot_bracket"] == "((((....))))" and out["mfe"] == -1.48  # three stacks of -2.36, a loop of 5.60
