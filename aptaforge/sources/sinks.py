@@ -8,6 +8,7 @@ import zipfile
 from typing import BinaryIO
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,15 +73,15 @@ def figure_tables(
     avg_fold, cgcc, g4hunter, g4nn, sequence.
     """
     text = lambda c: F.col(c).cast("string")
-    fixed = lambda c, k: F.format_string(f"%.{k}f", F.col(c).cast("double"))
+    fixed = lambda c, k: places(F.col(c).cast("double"), k)
     out = {}
     if distances is not None:
         ids = [r[0] for r in distances.select("a").distinct().orderBy("a").collect()]
         both = distances.select("a", "b", "distance").unionByName(distances.filter("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-        cells = [F.format_string("%.6f", F.max(F.when(F.col("b") == i, F.col("distance")))).alias(f"Cluster_{i}") for i in ids]
+        cells = [F.max(F.when(F.col("b") == i, F.col("distance"))).alias(f"Cluster_{i}") for i in ids]
         sizes = distances.groupBy("a").agg(F.max("size").alias("Cluster_Size"))
         wide = join_on(both.groupBy("a").agg(*cells), sizes, ["a"])
-        out["distance_matrix"] = wide.select(text("a").alias("Cluster_ID"), text("Cluster_Size").alias("Cluster_Size"), *[f"Cluster_{i}" for i in ids])
+        out["distance_matrix"] = wide.select(text("a").alias("Cluster_ID"), text("Cluster_Size").alias("Cluster_Size"), *[fixed(f"Cluster_{i}", 6).alias(f"Cluster_{i}") for i in ids])
     if silhouettes is not None:
         stats = silhouettes.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("silhouette").alias("mean"))
         bars = positions(silhouettes, ["cluster"], ["-silhouette", "id"], "bar", "figure-bars", stats)
@@ -95,7 +96,7 @@ def figure_tables(
     if tested is not None:
         out["permutation_test"] = tested.select(
             text("cluster").alias("cluster"), exponential(F.coalesce("p", F.lit(0.0))).alias("p_value"), F.coalesce("significant", F.lit(False)).cast("string").alias("significant"),
-            F.format_string("%.6f", F.coalesce("observed", F.lit(0.0))).alias("observed_compactness"), F.array_join(F.col("null").cast("array<string>"), ";").alias("null_values"),
+            places(F.coalesce("observed", F.lit(0.0)), 6).alias("observed_compactness"), F.array_join(F.col("null").cast("array<string>"), ";").alias("null_values"),
         )
     if overview is not None:
         dash = lambda c, k: F.when(F.coalesce(F.col(c), F.lit(0)) != 0, fixed(c, k)).otherwise("-")
@@ -106,6 +107,16 @@ def figure_tables(
     return out
 
 
+def places(x: Column, k: int) -> Column:
+    """``k`` decimals of the exact binary value, as C and JavaScript print it (Java prints that of the shortest decimal); null stays null."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([f"{v:.{k}f}" for v in x.tolist()], dtype=object)
+
+    return F.when(x.isNotNull(), run(x))
+
+
 def exponential(x: Column) -> Column:
     """Three decimals and an exponent without padding: 1.230e-5."""
     return F.regexp_replace(F.format_string("%.3e", x), r"e([+-])0*(\d)", r"e$1$2")

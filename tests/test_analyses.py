@@ -109,6 +109,14 @@ def test_whole_analyses(spark):
         analyses.enrich_analyse(table.filter("round_number = 1"))
 
 
+def test_figures_print_the_binary_value(spark):
+    rows = [(-0.0378405, "-0.037840"), (1e15 + 0.3, f"{1e15 + 0.3:.6f}"), (-1e-9, "-0.000000"), (None, None)]
+    df = spark.createDataFrame([(v,) for v, _ in rows], "x double")
+    assert [r[0] for r in df.select(sinks.places(F.col("x"), 6)).collect()] == [w for _, w in rows]
+    search = sinks.figure_tables(search=spark.createDataFrame([("error", 3, 49.24455)], "method string, k int, silhouette double"))["algorithm_selection"]
+    assert search.first()["silhouette"] == "49.2445"
+
+
 def test_workbook(spark):
     rows = [(1, "AC<GT", 10, 66.66666), (1, "GG", 5, 33.33333), (2, "AC<GT", 4, 100.0), (2, "T\x01T", 1, 0.5)]
     table = spark.createDataFrame(rows, "round_number int, sequence string, read_count long, percent_read double")
