@@ -275,3 +275,30 @@ def test_profiles_of_flagged_sequences(spark):
     df = spark.createDataFrame([("(...)", "GGAAC", True), ("(...)", "GGAAC", False)], "b string, s string, f boolean")
     got = [r[0] for r in df.orderBy(F.col("f").desc()).select(structure.flagged_profile_udf()("b", "s", "f")).collect()]
     assert got[0] == folding.profile("(...)", "GGAAC") and got[1] == folding.profile("(...)", "") and got[0][7] == 0.4
+
+
+@pytest.mark.parametrize("limit", [vectors.BROADCAST_BYTES, 200_000])
+def test_vectors_of_any_number(spark, monkeypatch, limit):
+    """Over 5,000 rows, with exact copies, the results of the kernels, whether the rows are broadcast or meet block by block."""
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", limit)
+    rng = np.random.default_rng(11)
+    n = 5200
+    x = rng.normal(size=(n, 4)) * [3, 2, 1, 1]
+    x[100:140] = x[100]
+    label = rng.integers(-1, 4, n)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(label[i])) for i in range(n)], "id long, v array<double>, cluster int")
+    want, ratio = numerics.pca(x)
+    assert np.allclose([(r.x, r.y) for r in clustering.embed(df, "pca").orderBy("id").collect()], want)
+    assert np.allclose([r.ratio for r in clustering.explained_variance(df).orderBy("component").collect()], ratio)
+    filled = numerics.fill_noise(np.round(numerics.cosine_distances(x), 12), label)
+    assert [r.cluster for r in clustering.noise_filled(df).orderBy("id").collect()] == filled.tolist()
+    assert np.isclose(clustering.density_validity(df).first().validity, numerics.density_validity(numerics.distances(x), label), atol=1e-6)
+    got = {(r.cluster, r["size"]): (r.observed, r.p) for r in clustering.permutation_test(df, 20).collect()}
+    for c, size, observed, p in numerics.permutation_p(x, label, 20):
+        assert np.allclose(got[c, size], (observed, p))
+
+
+def test_vectors_of_few_rows(spark):
+    one = spark.createDataFrame([(1, [1.0, 2.0], 0)], "id long, v array<double>, cluster int")
+    assert [tuple(r) for r in clustering.embed(one, "pca").collect()] == [(1, 0.0, 0.0)] and clustering.density_validity(one).first().validity == -1
+    assert clustering.embed(one.limit(0), "pca").count() == 0 and clustering.noise_filled(one.withColumn("cluster", F.lit(-1))).first().cluster == 0
