@@ -302,3 +302,43 @@ def test_vectors_of_few_rows(spark):
     one = spark.createDataFrame([(1, [1.0, 2.0], 0)], "id long, v array<double>, cluster int")
     assert [tuple(r) for r in clustering.embed(one, "pca").collect()] == [(1, 0.0, 0.0)] and clustering.density_validity(one).first().validity == -1
     assert clustering.embed(one.limit(0), "pca").count() == 0 and clustering.noise_filled(one.withColumn("cluster", F.lit(-1))).first().cluster == 0
+
+
+def test_distances_by_blocks(monkeypatch):
+    """Kernels over distances that are computed as they are asked for give what whole matrices give."""
+    monkeypatch.setattr(numerics, "CELLS", 500)
+    rng = np.random.default_rng(12)
+    x = np.r_[rng.normal(0, 0.3, (60, 5)) + [4, 0, 0, 0, 0], rng.normal(0, 0.2, (50, 5)) + [0, 4, 0, 0, 0], rng.normal(0, 1, (30, 5))]
+    x[10:14] = x[10]
+    d, gaps = numerics.cosine_distances(x), numerics.Gaps(x)
+    assert np.allclose(gaps[3:9], d[3:9]) and np.allclose(gaps[7], d[7])
+    label = numerics.dbscan_auto(d)
+    assert len(set(label.tolist())) > 1 and (numerics.dbscan_auto(gaps) == label).all() and (numerics.hdbscan(gaps, 5) == numerics.hdbscan(d, 5)).all()
+    assert np.allclose(numerics.silhouettes(gaps, label), numerics.silhouettes(d, label)) and (numerics.fill_noise(gaps, label) == numerics.fill_noise(d, label)).all()
+    e = numerics.distances(x)
+    for ward, whole, part in ((False, d, gaps), (False, e, numerics.Gaps(x, "euclidean")), (True, e, numerics.Gaps(x, "euclidean"))):
+        for k in (2, 6, 20):
+            a, b = numerics.agglomerate(whole, k, ward), numerics.agglomerate(part, k, ward)
+            assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == k
+    square = d**2
+    j = np.eye(140) - 1 / 140
+    want = np.linalg.eigh(-0.5 * j @ square @ j)[0][-2:]
+    y = numerics.mds(x) - 0.5
+    assert np.isclose((y[:, 0] ** 2).sum() / (y[:, 1] ** 2).sum(), want[1] / want[0])
+    a = np.maximum(1 - d, 0)
+    s = 1 / np.sqrt(a.sum(1))
+    v, w = numerics.affinity_vectors(x, 4), np.linalg.eigh(s[:, None] * a * s[None])[1][:, -4:]
+    assert np.allclose(np.linalg.norm(w.T @ v, axis=0), 1)
+
+
+def test_clusters_of_over_5000_rows(spark):
+    rng = np.random.default_rng(13)
+    x = np.r_[rng.normal(0, 0.1, (2600, 3)) + [3, 0, 0], rng.normal(0, 0.1, (2500, 3)) + [0, 3, 0]]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    for got in (clustering.auto_clusters(df, methods=("kmeans", "hierarchical"), most=3), clustering.density_clusters(df, "hdbscan"), clustering.density_clusters(df, "dbscan")):
+        label = [r.cluster_id for r in got.orderBy("id").collect()]
+        assert label[:2600] == [1] * 2600 and label[2600:] == [2] * 2500
+    rows = clustering.auto_scores(df, methods=("kmeans",), most=3).collect()
+    assert {r.k for r in rows} >= {2, 3} and max(rows, key=lambda r: r.silhouette).k == 2
+    assert clustering.embed(df, "mds").count() == 5100
+    assert clustering.auto_clusters(df.limit(0)).count() == 0
