@@ -180,16 +180,32 @@ def _cell(value) -> str:
 
 
 def workbook(tables: dict[str, DataFrame], file: BinaryIO) -> None:
-    """One workbook with a sheet for each table, its column names in the first row. Rows pass through the driver one
-    partition at a time; raises ValueError for more rows than a sheet can hold."""
+    """One workbook with a sheet for each table, its column names in the first row; a table of more rows than a sheet can hold goes on in
+    sheets "name (2)", "name (3)" and so on. Rows pass through the driver one partition at a time."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-    names = [re.sub(r"[\[\]:*?/\\\\]", " ", n)[:31] for n in tables]
-    numbered = list(enumerate(names, 1))
-    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+    names: list[str] = []
+    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED, allowZip64=True) as z:
+        for name, df in tables.items():
+            rows, k = df.toLocalIterator(), 0
+            row = next(rows, None)
+            while row is not None or not k:
+                k += 1
+                more = f" ({k})" if k > 1 else ""
+                names.append(re.sub(r"[\[\]:*?/\\\\]", " ", name)[: 31 - len(more)] + more)
+                with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as sheet:
+                    sheet.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
+                    sheet.write(f"<row>{''.join(map(_cell, df.columns))}</row>".encode())
+                    for _ in range(SHEET_ROWS - 1):
+                        if row is None:
+                            break
+                        sheet.write(f"<row>{''.join(map(_cell, row))}</row>".encode())
+                        row = next(rows, None)
+                    sheet.write(b"</sheetData></worksheet>")
+        numbered = list(enumerate(names, 1))
         types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i, _ in numbered)
         z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>{types}</Types>')
         z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -197,15 +213,6 @@ def workbook(tables: dict[str, DataFrame], file: BinaryIO) -> None:
         z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>')
         links = "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in numbered)
         z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{package}/relationships">{links}</Relationships>')
-        for i, df in enumerate(tables.values(), 1):
-            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as sheet:
-                sheet.write(f'{head}<worksheet xmlns="{main}"><sheetData>'.encode())
-                sheet.write(f"<row>{''.join(map(_cell, df.columns))}</row>".encode())
-                for n, row in enumerate(df.toLocalIterator(), 2):
-                    if n > SHEET_ROWS:
-                        raise ValueError(f"over {SHEET_ROWS} rows in a sheet; write folders of CSV instead")
-                    sheet.write(f"<row>{''.join(map(_cell, row))}</row>".encode())
-                sheet.write(b"</sheetData></worksheet>")
 
 
 def write_csv(df: DataFrame, path: str, mark: bool = True) -> None:

@@ -133,3 +133,15 @@ def test_workbook(spark):
         assert cells(4)[0] == ["rank", "sequence", "R1 Count", "R1 %", "R2 Count", "R2 %", "fold", "max_percent_read", "present_in_rounds"]
         assert cells(4)[1][1:3] == ["TT", ""] and cells(4)[1][6] == "New" and len(cells(4)) == 4
         assert len(cells(6)) == 1
+
+
+def test_a_table_goes_on_in_more_sheets(spark, monkeypatch):
+    monkeypatch.setattr(sinks, "SHEET_ROWS", 4)
+    file = io.BytesIO()
+    sinks.workbook({"a" * 40: spark.range(7).orderBy("id"), "b": spark.range(3).orderBy("id"), "c": spark.range(0)}, file)
+    with zipfile.ZipFile(file) as z:
+        space = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+        names = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).findall(".//m:sheet", space)]
+        assert names == ["a" * 31, "a" * 27 + " (2)", "a" * 27 + " (3)", "b", "c"]
+        cells = [["".join(r.itertext()) for r in ET.fromstring(z.read(f"xl/worksheets/sheet{i}.xml")).findall(".//m:row", space)] for i in range(1, 6)]
+    assert cells == [["id", "0", "1", "2"], ["id", "3", "4", "5"], ["id", "6"], ["id", "0", "1", "2"], ["id"]]
