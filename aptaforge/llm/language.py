@@ -16,7 +16,7 @@ from aptaforge.llm.common import join_on, materialize, spread, text_batches
 ORDER = 3
 #: Labelled documents that a language's statistics are taken from, and what is left out of a tree: see fit().
 TRAIN_DOCS = 400
-#: Bytes that the trees of all languages may take; beyond, contexts get shorter.
+#: Bytes that trees in memory may take; the languages of more are met in groups, one after another. The trees of a single language are always whole.
 MOST_BYTES = 256 << 20
 #: Language counts up to this many are broadcast; above, they join through salted slots.
 BROADCAST_LANGS = 100_000
@@ -148,28 +148,27 @@ class ContextTrees:
         cost[todo] = extra + self.unseen
         return cost
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language of each text and the share of its likelihood among all languages, given equal priors."""
+    def best(self, texts: list[str | None]) -> tuple[list[str | None], list[float | None], list[float | None]]:
+        """The likeliest language of each text, its code length, and the likelihoods of all languages as a multiple of its own; None for texts without a letter."""
         body = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         ends = np.cumsum([len(b) for b in body]) if body else np.zeros(0, dtype=np.int64)
         bits = self.score(np.frombuffer(b"".join(body), dtype=np.uint8), ends)
-        weight = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)) if self.langs else np.zeros((len(texts), 1))
-        best, share = weight.argmax(axis=1), weight.max(axis=1) / np.maximum(weight.sum(axis=1), 1e-300)
-        lang, score = [], []
-        for i, t in enumerate(texts):
-            known = bool(self.langs) and t is not None and any(c.isalpha() for c in t)
-            lang.append(self.langs[best[i]] if known else "und")
-            score.append(float(share[i]) if known else 0.0)
-        return lang, score
-
-
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER, name: str = "language", most_bytes: int = MOST_BYTES) -> ContextTrees:
-    """Context trees from doc_id, text, lang. Each language's statistics come from the whole texts of ``train_docs``
+        known = [bool(self.langs) and t is not None and any(c.isalpha() for c in t) for t in texts]
+        low = bits.min(axis=1, initial=np.inf)
+        total = np.exp2(np.maximum(low[:, None] - bits, -1000)).sum(axis=1)
+        at = bits.argmin(axis=1) if self.langs else [0] * len(texts)
+        return [self.langs[i] if k else None for i, k in zip(at, known, strict=True)], [float(v) if k else None for v, k in zip(low, known, strict=True)], [float(v) if k else None for v, k in zip(total, known, strict=True)]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language of each text and the share of its likelihood among all languages, given equal priors."""
+        lang, _, total = self.best(texts)
+        return [v or "und" for v in lang], [1 / v if v else 0.0 for v in total]
+
+
+def learnt(labelled: DataFrame, train_docs: int, order: int, name: str) -> DataFrame:
+    """(lang, gram, n): counts of byte strings of doc_id, text, lang. Each language's statistics come from the whole texts of ``train_docs``
     documents at most, first by a hash of doc_id: a few times as many are picked by the hash alone, so that no
-    language is gathered in one task, and ranked. Rows of one doc_id are picked or left together. Counting runs on the executors. The
-    trees have two numbers for each distinct byte string and language, and that size is computed before anything
-    reaches the driver: the longest contexts are taken, up to ``order`` bytes, whose trees stay within ``most_bytes``. ValueError if even single
-    bytes exceed it (a hundred thousand languages)."""
+    language is gathered in one task, and ranked. Rows of one doc_id are picked or left together. Counting runs on the executors."""
     ok = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     totals = materialize(ok.groupBy("lang").agg(F.count("*").alias("_n")), f"{name}-totals")
@@ -187,45 +186,71 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER, n
     small = ids.limit(1_000_001).count() <= 1_000_000
     sample = join_on(ok.select("doc_id", "lang", "text"), F.broadcast(ids) if small else ids, ["doc_id", "lang"])
     grams = sample.select("lang", "text").mapInArrow(counter(order), "lang string, gram binary, n long")
-    grams = materialize(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"{name}-grams")
-    langs = totals.count()
+    return materialize(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"{name}-grams")
+
+
+def trees_of(grams: DataFrame, order: int) -> ContextTrees:
+    counts: dict[str, dict[bytes, int]] = {}
+    for batch in grams.filter(F.octet_length("gram") <= order + 1).toArrow().to_batches():
+        for lang, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts.setdefault(lang, {})[gram] = n
+    return ContextTrees(counts, order)
+
+
+def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER, name: str = "language", most_bytes: int | None = None) -> ContextTrees:
+    """Context trees of all languages at once; see learnt(). Where the caller bounds their bytes by ``most_bytes``, contexts get shorter until they keep it
+    (ValueError if even single bytes exceed it)."""
+    grams = learnt(labelled, train_docs, order, name)
+    langs = grams.select("lang").distinct().count()
     sizes = grams.select("gram").distinct().groupBy(F.octet_length("gram").alias("k")).count().collect()  # one row a length
 
     def size(order: int) -> int:
         """Two numbers a language for each string, and a row of children for each that is a context."""
         return sum(r["count"] * (8 * langs + (1028 if r["k"] <= order else 0)) for r in sizes if r["k"] <= order + 1)
 
-    while order and size(order) > most_bytes:
+    while most_bytes is not None and order and size(order) > most_bytes:
         order -= 1
-    if size(order) > most_bytes:
+    if most_bytes is not None and size(order) > most_bytes:
         raise ValueError(f"trees of {langs} languages exceed {most_bytes} bytes")
-    counts: dict[str, dict[bytes, int]] = {}
-    for batch in grams.filter(F.octet_length("gram") <= order + 1).toArrow().to_batches():
-        for lang, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts.setdefault(lang, {})[gram] = n
-    return ContextTrees(counts, order)
+    return trees_of(grams, order)
+
+
+def in_groups(grams: DataFrame, order: int, most_bytes: int) -> Iterator[ContextTrees]:
+    """Trees of groups of languages, by name, that take ``most_bytes`` at most (or hold one language). What a language's trees say of a text does not
+    depend on the others, so the groups only bound what is in memory at once; contexts have ``order`` bytes whatever the size."""
+    deep = F.count(F.when(F.octet_length("gram") <= order, 1))
+    groups: list[list] = []
+    for lang, n, contexts in sorted(tuple(r) for r in grams.groupBy("lang").agg(F.count("*"), deep).collect()):
+        if groups:
+            last = groups[-1]
+            if (last[1] + n) * 8 * (len(last[0]) + 1) + 1028 * (last[2] + contexts) <= most_bytes:
+                groups[-1] = [[*last[0], lang], last[1] + n, last[2] + contexts]
+                continue
+        groups.append([[lang], n, contexts])
+    for names, _, _ in groups:
+        wanted = grams.sparkSession.createDataFrame([(v,) for v in names], "lang string")
+        yield trees_of(grams if len(groups) == 1 else grams.join(F.broadcast(wanted), "lang").select("lang", "gram", "n"), order)
 
 
 def identify(docs: DataFrame, trees: ContextTrees) -> Column:
-    """A struct column (lang_pred, score) over the column ``text`` of ``docs``."""
+    """A struct column (lang, bits, total) over the column ``text`` of ``docs``; see ContextTrees.best."""
     shared = docs.sparkSession.sparkContext.broadcast(vars(trees))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang string, bits double, total double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trees = ContextTrees.of(shared.value)
         for batch in texts:
-            lang, score = [], []
+            got: tuple[list, list, list] = ([], [], [])
             rows, held = [], 0
             for t in [*batch, ...]:  # parts of a few million bytes, whatever the texts' lengths
                 if t is ... or held > 4_000_000:
-                    a, b = trees.predict(rows)
-                    lang += a
-                    score += b
+                    for into, part in zip(got, trees.best(rows), strict=True):
+                        into += part
                     rows, held = [], 0
                 if t is not ...:
                     rows.append(t)
                     held += len(t or "")
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+            yield pd.DataFrame({"lang": pd.Series(got[0], dtype=object), "bits": pd.Series(got[1], dtype=float), "total": pd.Series(got[2], dtype=float)})
 
     return predict("text")
 
@@ -234,15 +259,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def predict_languages(docs: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER) -> DataFrame:
+def predict_languages(docs: DataFrame, train_docs: int = TRAIN_DOCS, order: int = ORDER, most_bytes: int = MOST_BYTES) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learns from text and lang of documents that are not held out (a null doc_id is not), and
     predicts every whole text. Null text, or text without a letter, is ``und`` with score 0, and so is all text
     where nothing could be learnt. Ties go to the first language by name. Repeated rows
-    are predicted each; extra columns are ignored.
+    are predicted each; extra columns are ignored. Languages whose trees exceed ``most_bytes`` are met in groups, with the same results.
     """
     text_batches(docs.sparkSession)
-    trees = fit(docs.filter(~held_out()), train_docs, order)
-    out = docs.select("doc_id", held_out().alias("held_out"), identify(docs, trees).alias("p"))
-    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+    grams = learnt(docs.filter(~held_out()), train_docs, order, "language")
+    rows, first = docs.select("doc_id", held_out().alias("held_out"), "text"), True
+    for trees in in_groups(grams, order, most_bytes):
+        if first:
+            rows, first = rows.select("*", identify(rows, trees).alias("p")), False
+            continue
+        rows = materialize(rows, "language-group")  # so that a task holds the trees of one group
+        rows = rows.withColumn("q", identify(rows, trees))
+        low = F.least("p.bits", "q.bits")
+        share = lambda c: F.col(f"{c}.total") * F.pow(F.lit(2.0), F.greatest(low - F.col(f"{c}.bits"), F.lit(-1000.0)))
+        lang = F.when(F.col("q.bits") < F.col("p.bits"), F.col("q.lang")).otherwise(F.col("p.lang"))
+        rows = rows.select("doc_id", "held_out", "text", F.struct(lang.alias("lang"), low.alias("bits"), (share("p") + share("q")).alias("total")).alias("p"))
+    if first:
+        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    return rows.select("doc_id", "held_out", F.coalesce("p.lang", F.lit("und")).alias("lang_pred"), F.coalesce(1 / F.col("p.total"), F.lit(0.0)).alias("score"))

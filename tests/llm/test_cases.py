@@ -369,3 +369,20 @@ def test_odd_texts_have_defined_results(spark):
     assert prints == Counter((i, simhash.signed(simhash.fingerprint(t))) for i, t in rows)
     empty = docs.limit(0)
     assert token_counts.count_tokens(empty, path).count() == pseudonyms.pseudonymise(empty, "k").count() == packing.pack(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_languages_in_groups(spark):
+    """Contexts stay as long, and predictions the same, however few languages' trees fit in memory at once."""
+    words = {"a": "the house and the tree ", "b": "das haus und der baum ", "c": "la casa y el arbol ", "d": "talo ja puu ovat "}
+    rows = [(i, words[lang] * (1 + i % 4) + str(i), lang) for i, lang in enumerate("abcd" * 20)] + [(900, None, "a"), (901, "12 3", None), (902, "der baum and", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = {r.doc_id: r for r in language.predict_languages(docs).collect()}
+    assert {r.lang_pred for r in want.values()} == {"a", "b", "c", "d", "und"}
+    for most in (1, 200_000):
+        got = {r.doc_id: r for r in language.predict_languages(docs, most_bytes=most).collect()}
+        assert {k: r.lang_pred for k, r in got.items()} == {k: r.lang_pred for k, r in want.items()}
+        assert all(abs(got[k].score - want[k].score) < 1e-4 for k in want)
+    grams = language.learnt(docs, 400, 3, "groups")
+    groups = list(language.in_groups(grams, 3, 1))
+    assert [t.langs for t in groups] == [["a"], ["b"], ["c"], ["d"]] and {t.order for t in groups} == {3}
+    assert [t.langs for t in language.in_groups(grams, 3, language.MOST_BYTES)] == [["a", "b", "c", "d"]]
