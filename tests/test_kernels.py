@@ -340,5 +340,21 @@ def test_clusters_of_over_5000_rows(spark):
         assert label[:2600] == [1] * 2600 and label[2600:] == [2] * 2500
     rows = clustering.auto_scores(df, methods=("kmeans",), most=3).collect()
     assert {r.k for r in rows} >= {2, 3} and max(rows, key=lambda r: r.silhouette).k == 2
-    assert clustering.embed(df, "mds").count() == 5100
+    assert clustering.embed(df, "mds").count() == 5100 and clustering.embed(df, "umap", rounds=2).count() == 5100
     assert clustering.auto_clusters(df.limit(0)).count() == 0
+
+
+def test_neighbour_graph_by_definition():
+    x = np.random.default_rng(14).normal(size=(70, 4))
+    d, n, k = numerics.cosine_distances(x), 70, 6
+    w = np.zeros((n, n))
+    for i in range(n):
+        near = np.argsort(d[i] + np.eye(n)[i] * 9)[:k]
+        r, lo, hi = d[i, near] - d[i, near].min(), 0.0, 1e3
+        for _ in range(50):
+            s = (lo + hi) / 2
+            lo, hi = (s, hi) if np.exp(-r / max(s, 1e-9)).sum() < math.log2(k + 1) else (lo, s)
+        w[i, near] = np.exp(-r / max(s, 1e-9))
+    w = w + w.T - w * w.T
+    i, j, got = numerics.neighbour_graph(numerics.Gaps(x), k)
+    assert [i.tolist(), j.tolist()] == [v.tolist() for v in np.nonzero(w)] and np.allclose(got, w[i, j])
