@@ -6,7 +6,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +76,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 #: How the tokenizer at hand must cut and normalise for words to be taken apart here.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Marks that make a part of their own at the end of a word of letters.
+MARKS = frozenset("!\"#$%&'()*+,-./:;=?@[\\]^_`{|}~")
 NORMALISE = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 
 
@@ -86,6 +88,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class Recent(dict):
+    """Ids of words: those missing are taken from the generation before, else made, so that a whole text's words are looked up without a loop in Python."""
+
+    def __init__(self, make: Callable[[str], bytes], old: dict[str, bytes]):
+        self.make, self.old = make, old
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.old.get(w)
+        self[w] = ids = self.make(w) if ids is None else ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer whose tokens never cross white space.
 
@@ -101,8 +115,7 @@ class WordTokenizer:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young = Recent(self.word, {})
         self.parts: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers") or []
@@ -120,12 +133,17 @@ class WordTokenizer:
 
     def word(self, w: str) -> bytes:
         plain = w.isascii()
+        if self.model is not None and plain:
+            if w.isalpha():
+                w = w.lower()
+                return self.parts.get(w) or self.part(w)
+            head, mark = w[:-1], w[-1:]
+            if head.isalpha() and mark in MARKS:
+                head = head.lower()
+                return (self.parts.get(head) or self.part(head)) + (self.parts.get(mark) or self.part(mark))
         if self.model is None or not w.isprintable() or not plain and max(w) >= "\u0250" or "<" in w and any([a in w for a in self.added]):
             return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-        w = w.lower()
-        if plain and w.isalpha():
-            return self.part(w)
-        return b"".join([self.parts.get(p) or self.part(p) for p in self.cut.findall(w)])
+        return b"".join([self.parts.get(p) or self.part(p) for p in self.cut.findall(w.lower())])
 
     def part(self, part: str) -> bytes:
         spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode("utf-8")])
@@ -137,23 +155,13 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text, joined."""
         if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
+            self.young.old = {}
+            self.young = Recent(self.word, self.young)
         if len(self.parts) > self.most:
             self.parts.clear()
         # str.split() takes four separators for white space that tokenizers do not
         words = text.split() if not SEPARATORS.search(text) else [w for w in regex.split(r"[^\S\x1c-\x1f]+", text) if w]
-        found = list(map(self.young.get, words))
-        if None in found:
-            young, old = self.young, self.old
-            for i, ids in enumerate(found):
-                if ids is None:
-                    w = words[i]
-                    ids = young.get(w)
-                    if ids is None:
-                        ids = old.get(w)
-                        young[w] = ids = self.word(w) if ids is None else ids
-                    found[i] = ids
-        return b"".join(found)
+        return b"".join(map(self.young.__getitem__, words))
 
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
