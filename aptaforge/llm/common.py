@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aptaforge.operators.ranges import join_on, materialize, positions, prefix_sums, ranged
 
 __all__ = [
-    "SPACE", "WORD", "drop_marked", "join_on", "let", "materialize", "positions", "prefix_sums", "ranged", "shuffle_partitions", "spread", "table", "text_batches",
+    "SPACE", "WORD", "drop_marked", "join_on", "lean", "let", "materialize", "positions", "prefix_sums", "ranged", "shuffle_partitions", "spread", "table", "text_batches",
     "worker_cache",
 ]
 
@@ -38,6 +42,42 @@ def worker_cache() -> dict:
     return vars(sys).setdefault("_aptaforge_worker_cache", {})
 
 
+def release() -> None:
+    """Give memory that Arrow and the allocator keep for later back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def lean(kind: str | None = None) -> Callable:
+    """Wraps a function over an iterator of batches, so that a Python worker holds little between batches and once idle.
+
+    Workers live on after their task and count against their executor's memory. What they keep for other
+    operators goes when a task begins: only ``kind``, the first part of a key of ``worker_cache``, stays.
+    """
+
+    def wrap(f: Callable) -> Callable:
+        @wraps(f)
+        def run(batches: Iterator) -> Iterator:
+            kept = worker_cache()
+            for key in [k for k in kept if k[0] != kind]:
+                del kept[key]
+
+            def one_by_one():
+                for batch in batches:
+                    yield batch
+                    del batch
+                    release()
+
+            yield from f(one_by_one())
+            release()
+
+        return run
+
+    return wrap
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` uses it many times and it is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from aptaforge.llm.common import SPACE, drop_marked, join_on, materialize, spread, text_batches
+from aptaforge.llm.common import SPACE, drop_marked, join_on, lean, materialize, spread, text_batches
 
 #: One random 32-bit number for each byte value.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 77) for b in range(256)], dtype=np.uint32)
@@ -44,6 +44,7 @@ def boundaries(data: bytes, bits: int = 11, longest: int = 1 << 16) -> list[int]
 
 def chunker(bits: int, id_bytes: int):
     @F.pandas_udf("ids array<binary>, chunks array<binary>")
+    @lean()
     def chunk(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             ids, chunks = [], []

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aptaforge.llm.common import text_batches, worker_cache
+from aptaforge.llm.common import lean, text_batches, worker_cache
 
 #: Pieces that a task packs together; what a task holds of them is four numbers each.
 BATCH = 400_000
@@ -168,6 +168,7 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def packer(tokenizer: str, capacity: int, end: int):
+    @lean("words")
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_cache().setdefault(("words", tokenizer), None) or WordTokenizer(tokenizer)
         worker_cache()["words", tokenizer] = tok

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aptaforge.llm.common import WORD, drop_marked, join_on, materialize, shuffle_partitions, spread, text_batches
+from aptaforge.llm.common import WORD, drop_marked, join_on, lean, materialize, shuffle_partitions, spread, text_batches
 
 BITS = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -55,6 +55,7 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprint_udf(shingle: int):
     @F.pandas_udf("long")
+    @lean()
     def prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in batch], dtype=np.uint64).view(np.int64))
@@ -85,6 +86,7 @@ def minima(h: np.ndarray) -> np.ndarray:
 
 def sketch_udf(shingle: int):
     @F.pandas_udf("fp long, bands array<long>, sketch binary, set_id binary")
+    @lean()
     def sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             fps, bands, marks, sets = [], [], [], []
@@ -102,6 +104,7 @@ def sketch_udf(shingle: int):
 
 def set_udf(shingle: int):
     @F.pandas_udf("binary")
+    @lean()
     def sets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch])
@@ -256,6 +259,7 @@ def compare(fps: np.ndarray, run: np.ndarray, radius: int, alike=None) -> np.nda
 def linker(radius: int, similarity: float | None = None):
     """Over rows sorted by (bucket, node): a link from each node to the first it reaches in its bucket."""
 
+    @lean()
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
@@ -321,6 +325,7 @@ def verify(marks: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.n
 def verifier(similarity: float):
     """Over rows sorted by (bucket, node): exact links of each bucket, one bucket in memory at a time."""
 
+    @lean()
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
