@@ -20,6 +20,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLOCK = 1024
 #: (query, word of 64 lanes) pairs that are compared at once.
 SLICE = 1 << 17
+#: Pairs whose sketches are compared at once.
+PAIRS = 1 << 14
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -245,13 +247,16 @@ def compare(fps: np.ndarray, run: np.ndarray, radius: int, alike=None) -> np.nda
             i, j = query[h][r], lane[word[h][r] * 64 + c]
             ok = (j >= 0) & (i < j)
             i, j = i[ok], j[ok]
-            if alike is not None:
-                ok = label[i] != label[j]
-                i, j = i[ok], j[ok]
-                ok = alike(i, j)
-                i, j = i[ok], j[ok]
-            if len(i):
-                label = forest(n, i, j, label)
+            if alike is None:
+                label = forest(n, i, j, label) if len(i) else label
+                continue
+            for asked in range(0, len(i), PAIRS):  # in a dense bucket most pairs are joined by those before them
+                x, y = i[asked : asked + PAIRS], j[asked : asked + PAIRS]
+                ok = label[x] != label[y]
+                x, y = x[ok], y[ok]
+                ok = alike(x, y)
+                if ok.any():
+                    label = forest(n, x[ok], y[ok], label)
         at = stop
     return label
 
