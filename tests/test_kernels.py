@@ -85,6 +85,24 @@ def test_long_and_odd_sequences_fold():
     assert folding.profile("....", "GGAA")[7] == 0.5 and folding.profile("....", "")[7] == 0.0
 
 
+def test_sequences_above_the_tables_in_memory_fold_whole(monkeypatch):
+    s = "A" * 10_000 + "GGGGAAAACCCC"
+    got = folding.fold(s)
+    assert got["dot_bracket"] == "." * 10_000 + "((((....))))" and got["num_base_pairs"] == 4
+    assert got["mfe"] == folding.fold("GGGGAAAACCCC")["mfe"] < 0
+    rng = random.Random(9)
+    some = ["".join(rng.choice("ACGU") for _ in range(n)) for n in (70, 130, 240)]
+    held = {c: [folding.mfe(s, c) for s in some] for c in (False, True)}
+    monkeypatch.setattr(folding, "LONGEST", 50)
+    assert {c: [folding.mfe(s, c) for s in some] for c in (False, True)} == held
+
+
+def test_structures_of_long_sequences_pair_beyond_10000_letters(spark):
+    got = structure.predict(spark.createDataFrame([("A" * 10_000 + "GGGGAAAACCCC", 1)], "sequence string, total_reads long")).withColumn("total_reads", F.lit(1))
+    rows = clustering.structure_clusters(got.select("sequence", "total_reads", F.col("dot_bracket").alias("bracket"))).collect()
+    assert [r.cluster_id for r in rows] == [1] and got.first().dot_bracket.endswith("((((....))))")
+
+
 def plain_linkage(d, k, ward):
     groups = [[i] for i in range(len(d))]
     x = d
