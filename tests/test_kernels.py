@@ -74,6 +74,36 @@ def test_energies_equal_all_structures(compat):
             assert all(abs(i - j) > 3 for i, j in folding.base_pairs(bracket).items())
 
 
+def test_rounds_of_merges_equal_chains():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 6))
+    x = np.r_[x, x[:40], np.repeat(x[5:6], 60, axis=0), np.zeros((20, 6))][rng.permutation(820)]
+    for ward in (False, True):
+        d = numerics.Gaps(x, "euclidean" if ward else "cosine")
+        groups = numerics._Groups(d, ward)
+        rounds = groups.rounds()
+        assert len(rounds) > 300
+        fast = numerics.linkage(d, ward)
+        slow = numerics.linkage(numerics.distances(x) if ward else d[np.arange(len(x))], ward)
+        for k in (2, 5, 20, 80):
+            a, b = numerics.agglomerate(x, k, merges=fast), numerics.agglomerate(x, k, merges=slow)
+            assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == k
+
+
+def test_reach_tree_is_smallest():
+    rng = np.random.default_rng(4)
+    d = numerics.Gaps(rng.normal(size=(300, 5)))[np.arange(300)]
+    core = numerics.kth_distances(d, 7)
+    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
+    inside, want = np.arange(300) == 0, []
+    for _ in range(299):
+        i = np.where(inside, np.inf, reach[inside].min(0)).argmin()
+        want.append(reach[inside][:, i].min())
+        inside[i] = True
+    edges = numerics.reach_tree(d, core)
+    assert np.allclose(sorted(want), sorted(h for h, _, _ in edges)) and all(np.isclose(h, reach[i, j]) for h, i, j in edges)
+
+
 def test_long_and_odd_sequences_fold():
     rng = random.Random(8)
     s = "".join(rng.choice("ACGU") for _ in range(900))
