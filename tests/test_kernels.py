@@ -104,6 +104,16 @@ def test_reach_tree_is_smallest():
     assert np.allclose(sorted(want), sorted(h for h, _, _ in edges)) and all(np.isclose(h, reach[i, j]) for h, i, j in edges)
 
 
+def test_mixtures_are_tried_with_all_numbers(spark):
+    x = np.random.default_rng(5).normal(size=(160, 3))
+    tried = {(r.method, r.k) for r in clustering.auto_scores(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), methods=("gmm",)).collect()}
+    assert {k for _, k in tried} >= {2, 3, 4, 5, 7, 10, 15, 20, 30}
+
+
+def test_profiles_of_long_sequences_count_pairs_beyond_10000_letters():
+    assert folding.profile(folding.fold("A" * 10_000 + "GGGGAAAACCCC")["dot_bracket"])[0] == pytest.approx(8 / 10_012)
+
+
 def test_long_and_odd_sequences_fold():
     rng = random.Random(8)
     s = "".join(rng.choice("ACGU") for _ in range(900))
